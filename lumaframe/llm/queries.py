@@ -6,11 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumaframe.llm.batches import repeated_images
+from lumaframe.llm.linked_sets import linked_images
+from lumaframe.llm.mixing import mix
+from lumaframe.llm.packing import fill_report, pack
+from lumaframe.llm.survivors import representatives
 from lumaframe.llm.trie_join import near_duplicate_images
-from lumaframe.sources.tables import table
+from lumaframe.sources.tables import table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda spark, d: repeated_images(table(spark, d, "fingerprints")),
+    "p3_found": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints"), None, "current").select("group_id", "image_id"),
+    "p3_records": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints", "images")),
+    "p4_found": lambda spark, d: linked_images(*tables(spark, d, "group_members", "dup_groups")),
     "p5_found": lambda spark, d: near_duplicate_images(table(spark, d, "fingerprints")),
+    "p6_packed": lambda spark, d: pack(*tables(spark, d, "documents", "containers")),
+    "p6_filled": lambda spark, d: fill_report(pack(*tables(spark, d, "documents", "containers"))),
+    "p7_mixed": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[0],
+    "p7_shares": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[1],
 }
 
-SQL: dict[str, str] = {}
+_CURRENT = """
+WITH RECURSIVE log AS (SELECT DISTINCT * FROM fingerprints WHERE image_id IS NOT NULL),
+cur AS (
+  SELECT image_id, right(lower(trim(file_hash)), 64) AS digest, dhash_full AS f, dhash_crop AS c, width, height, file_size,
+         strftime(created_at, '%Y-%m') AS period
+  FROM log QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY created_at DESC) = 1)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": _CURRENT + """,
+mem AS (SELECT DISTINCT group_id, image_id FROM group_members WHERE group_id IS NOT NULL),
+k AS (
+  SELECT m.group_id, m.image_id,
+         CASE WHEN width > 0 AND height > 0 THEN CAST(width AS HUGEINT) * height ELSE 0 END AS area,
+         CASE WHEN file_size > 0 THEN file_size ELSE 0 END AS size, count(*) OVER (PARTITION BY m.group_id) AS n
+  FROM mem m JOIN cur USING (image_id))
+SELECT group_id, image_id FROM k WHERE n >= 2
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY area DESC, size DESC, image_id) = 1""",
+    "p4_found": """
+WITH RECURSIVE nm AS (
+  SELECT group_id, coalesce('n' || CAST(try_cast(regexp_extract(tag_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS VARCHAR), 'g' || group_id) AS hub FROM dup_groups),
+mem AS (SELECT DISTINCT image_id, coalesce(hub, 'g' || m.group_id) AS hub FROM group_members m LEFT JOIN nm USING (group_id) WHERE image_id IS NOT NULL),
+star AS (SELECT image_id AS b, min(image_id) OVER (PARTITION BY hub) AS a FROM mem),
+e AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach AS (SELECT DISTINCT image_id AS v, image_id AS root FROM mem UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.v WHERE r.root < e.b)
+SELECT v AS image_id, min(root) AS root_id FROM reach GROUP BY v""",
+    "p5_found": _CURRENT + """
+SELECT a.image_id AS image_a, b.image_id AS image_b FROM cur a JOIN cur b ON a.image_id < b.image_id AND a.digest <> b.digest
+WHERE least(bit_count(xor(a.f, b.f)), bit_count(xor(a.c, b.c)), bit_count(xor(a.f, b.c)), bit_count(xor(a.c, b.f))) <= 6""",
+}
