@@ -10,6 +10,7 @@ from lumaframe.llm.batches import repeated_images
 from lumaframe.llm.linked_sets import linked_images
 from lumaframe.llm.mixing import mix
 from lumaframe.llm.packing import fill_report, pack
+from lumaframe.llm.prose import classified, not_prose, statistics
 from lumaframe.llm.survivors import representatives
 from lumaframe.llm.trie_join import near_duplicate_images
 from lumaframe.sources.tables import table, tables
@@ -24,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_filled": lambda spark, d: fill_report(pack(*tables(spark, d, "documents", "containers"))),
     "p7_mixed": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[0],
     "p7_shares": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[1],
+    "p8_found": lambda spark, d: not_prose(*tables(spark, d, "documents", "common_words")),
+    "p8_kinds": lambda spark, d: classified(*tables(spark, d, "documents", "common_words")),
+    "p8_statistics": lambda spark, d: statistics(*tables(spark, d, "documents", "common_words")),
 }
 
 _CURRENT = """
@@ -55,4 +59,17 @@ SELECT v AS image_id, min(root) AS root_id FROM reach GROUP BY v""",
     "p5_found": _CURRENT + """
 SELECT a.image_id AS image_a, b.image_id AS image_b FROM cur a JOIN cur b ON a.image_id < b.image_id AND a.digest <> b.digest
 WHERE least(bit_count(xor(a.f, b.f)), bit_count(xor(a.c, b.c)), bit_count(xor(a.f, b.c)), bit_count(xor(a.c, b.f))) <= 6""",
+    "p8_statistics": r"""
+WITH cw AS (SELECT list(DISTINCT lower(trim(word))) AS ws FROM common_words WHERE trim(word) <> ''),
+t AS (
+  SELECT doc_id, text,
+         regexp_extract_all(lower(regexp_replace(text, '([\x{3040}-\x{309F}]+|[\x{30A0}-\x{30FF}]+|[\x{3005}\x{4E00}-\x{9FFF}]+)', ' \1 ', 'g')), '[\p{L}\p{M}\p{N}]+') AS words,
+         list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: regexp_replace(x, '[\s\p{Z}]+', '', 'g') <> '') AS lines
+  FROM documents)
+SELECT doc_id, len(words) AS n_words,
+       CASE WHEN text IS NOT NULL THEN coalesce(list_sum(list_transform(words, lambda w: length(w))) / nullif(CAST(len(words) AS DOUBLE), 0), 0) END AS mean_word_length,
+       CASE WHEN text IS NOT NULL THEN coalesce(length(regexp_replace(text, '[\p{L}\p{M}\p{N}\s\p{Z}]+', '', 'g')) / nullif(CAST(length(text) AS DOUBLE), 0), 0) END AS symbol_share,
+       CASE WHEN text IS NOT NULL THEN coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;。！？：；][\s\p{Z}]*$'))) / nullif(CAST(len(lines) AS DOUBLE), 0), 0) END AS stop_line_share,
+       CASE WHEN text IS NOT NULL THEN coalesce(len(list_filter(words, lambda w: list_contains(ws, w))) / nullif(CAST(len(words) AS DOUBLE), 0), 0) END AS common_word_share
+FROM t, cw""",
 }
