@@ -16,7 +16,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.examples import examples
@@ -26,6 +26,7 @@ KINDS = ("prose", "list", "table", "junk")
 ROUNDS = 12
 TRIGRAMS = 1 << 16  #: bins of the hashed counts of letter trigrams
 WINDOW = 40  #: words among which repetition is measured, one window after the other
+MOST_COMMON = 10_000  #: common words
 ENTRIES = 5  #: an enumeration of fewer bare entries is no case
 
 _CJK = "々぀-ヿ一-鿿"
@@ -46,14 +47,14 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     other than these and white space, over all characters. A line counts if it isn't blank, and as ending in punctuation
     if its last character but white space is one of . ! ? … : ; and their wide forms. Common are the words of the table, of
     whatever language, as the language of a text may be wrong. A share of nothing is 0; null texts give null statistics,
-    empty ones zeros. The list of common words goes to every task and must have 100,000 rows at most.
+    empty ones zeros. The list of common words goes to every task and must have MOST_COMMON rows at most.
     """
     text = F.col("text")
     spaced = F.regexp_replace(text, "([぀-ゟ]+|[゠-ヿ]+|[々一-鿿]+)", " $1 ")
     words = F.regexp_extract_all(F.lower(spaced), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
-    listed = common_words.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 common words")
+    listed = common_words.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().limit(MOST_COMMON + 1).collect()
+    if len(listed) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     common = F.array(*(F.lit(r.word) for r in listed)) if listed else F.array().cast("array<string>")
     lines = F.filter(F.split(text, "[\r\n]+"), lambda x: F.regexp_replace(x, r"[\s\p{Z}]+", "") != "")
     share = lambda part, whole: F.when(text.isNotNull(), F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)))
@@ -224,9 +225,9 @@ def classified(documents: DataFrame, common_words: DataFrame, rounds: int = ROUN
     """
     spark = documents.sparkSession
     there = documents.filter(F.regexp_replace("text", r"[\s\p{Z}]+", "") != "").select("doc_id", "text")
-    listed = common_words.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 common words")
+    listed = common_words.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().limit(MOST_COMMON + 1).collect()
+    if len(listed) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     common = frozenset(r.word for r in listed)
     counts, n = trigram_counts(there)
     if n == 0:
@@ -247,9 +248,7 @@ def classified(documents: DataFrame, common_words: DataFrame, rounds: int = ROUN
     x = (np.array([features(t, common, familiar)[0] for _, _, t in seen]) - shift) / scale
     names = list(dict.fromkeys((kind, group) for kind, group, _ in seen))
     of = np.array([names.index((kind, group)) for kind, group, _ in seen])
-    standard = table.withColumn("x", F.transform(F.zip_with("x", F.array(*(F.lit(float(s)) for s in shift)), lambda a, b: a - b), lambda v: v)).withColumn(
-        "x", F.zip_with("x", F.array(*(F.lit(float(s)) for s in scale)), lambda a, b: a / b)
-    )
+    standard = table.withColumn("x", F.array(*((F.col("x")[i] - float(shift[i])) / float(scale[i]) for i in range(d))))
     model = fit(standard, [x[of == k] for k in range(len(names))], rounds)
     held = model.shares(x)
     votes = np.zeros((len(names), len(KINDS)))
