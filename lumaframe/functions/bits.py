@@ -29,17 +29,24 @@ def difference_hash(px: Column) -> Column:
 
     Null for a null raster or one of fewer than 72 bytes; further bytes are ignored.
     """
-    digits = F.hex(px)  # fixed width, so that text order is the order of the bytes
-
-    def pixel(i: Column) -> Column:
-        return F.substr(digits, i * 2 + 1, F.lit(2))
-
-    def step(acc: Column, k: Column) -> Column:
-        at = (F.floor(k / 8) * RASTER_COLUMNS + k % 8).cast("int")
-        return acc.bitwiseOR(F.when(pixel(at) > pixel(at + 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
-
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), step)
-    return F.when(F.octet_length(px) >= RASTER_COLUMNS * RASTER_ROWS, bits)
+    digits = F.hex(px)
+    width = 2 * RASTER_COLUMNS
+    rows = F.array(*(F.substring(digits, width * r + 1, width) for r in range(RASTER_ROWS)))
+
+    def row_bits(row: Column) -> Column:
+        left, right = (F.conv(F.substring(row, 1 + shift, 16), 16, -10).cast("bigint") for shift in (0, 2))
+        bits = F.lit(0).cast("bigint")
+        # the eight pairs of bytes in two sets of four 16-bit lanes: 256 + left - right - 1 keeps bit 8 where left > right
+        for odd in (0, 1):
+            lanes = [F.shiftrightunsigned(v, 8 * odd).bitwiseAND(F.lit(0x00FF00FF00FF00FF)) for v in (left, right)]
+            greater = lanes[0] + F.lit(0x0100010001000100 - 0x0001000100010001) - lanes[1]
+            for lane in range(4):
+                one = F.shiftrightunsigned(greater, 16 * lane + 8).bitwiseAND(F.lit(1).cast("bigint"))
+                bits = bits.bitwiseOR(F.shiftleft(one, 7 - (2 * lane + odd)))
+        return bits
+
+    whole = F.aggregate(F.reverse(F.transform(rows, row_bits)), F.lit(0).cast("bigint"), lambda acc, r: F.shiftleft(acc, 8).bitwiseOR(r))
+    return F.when(F.octet_length(px) >= RASTER_COLUMNS * RASTER_ROWS, whole)
 
 
 def difference_hash_of(values: Column) -> Column:

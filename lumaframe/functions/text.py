@@ -119,7 +119,8 @@ def usernames(text: Column) -> Column:
             lambda i: _handles(F.array_join(F.slice(lines, i + 1, AFTER_KEYWORD), "\n"), 15),
         )
     )
-    return F.concat(_handles(text, 10), near, F.flatten(F.transform(lines, _standalone)))
+    none = F.array().cast("array<struct<username:string,score:bigint>>")
+    return F.concat(_handles(text, 10), F.when(text.rlike(KEYWORD), near).otherwise(none), F.flatten(F.transform(lines, _standalone)))
 
 
 def host_names(text: Column) -> Column:
@@ -137,7 +138,8 @@ def host_names(text: Column) -> Column:
         first = F.greatest(i - NEAR_BADGE, F.lit(0))
         return F.transform(usernames(F.array_join(F.slice(lines, first + 1, i + NEAR_BADGE + 1 - first), "\n")), lambda c: c["username"])
 
-    return F.array_distinct(F.flatten(F.transform(F.filter(_indexes(lines), lambda i: badge(F.get(lines, i))), window)))
+    names = F.array_distinct(F.flatten(F.transform(F.filter(_indexes(lines), lambda i: badge(F.get(lines, i))), window)))
+    return F.when(badge(text), names).otherwise(F.array().cast("array<string>"))
 
 
 def platform_a_score(text: Column) -> Column:

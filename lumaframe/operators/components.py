@@ -15,8 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels are written to the shared folder in every round, so lost executors don't restart the loop.
     """
     spark, folder = edges.sparkSession, shared_folder(edges.sparkSession)
-    one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
-    both = stage(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), folder, "edges")
+    ways = F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst"))))
+    both = stage(edges.filter(F.col(a) != F.col(b)).select(ways.alias("e")).select("e.src", "e.dst").distinct(), folder, "edges")
     labels = stage(both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("root")), folder, "labels-0")
     step, changed = 0, 1
     while changed:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.session import shared_folder, stage
+
 GRAM = 4
 
 
@@ -12,16 +16,32 @@ def performers_by_url(usernames: DataFrame, performers: DataFrame, most: int = 1
     """username, performer_id, name, place: performers one of whose urls contains the username, whatever its case.
 
     The first `most` by id as text, as the host's search returns. usernames: column username; performers: id, name, urls.
-    Every url is cut into its grams of four characters, and a username meets the urls that hold its first gram, so nothing
-    is compared with everything; a name shorter than that meets the grams of its own length. Null and empty names match
-    nothing.
+    Every url is cut into its grams of four characters, and a username meets only the urls that hold its rarest gram, so
+    nothing is compared with everything and a beginning that all addresses share costs nothing. A name shorter than that
+    meets the grams of its own length. Null and empty names match nothing.
     """
-    names = usernames.select("username").filter("username <> ''").distinct().withColumn("low", F.lower("username"))
-    names = names.withColumn("gram", F.substring("low", 1, GRAM))
+    folder = shared_folder(usernames.sparkSession)  # both sides are read more than once
+    names = stage(usernames.select("username").filter("username <> ''").distinct().withColumn("low", F.lower("username")), folder, "names")
     urls = performers.select(F.col("id").alias("performer_id"), "name", F.explode("urls").alias("url")).select("performer_id", "name", F.lower("url").alias("url")).filter("url <> ''").distinct()
-    starts = F.sequence(F.lit(1), F.length("url"))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("url", i, n)))))
-    met = urls.withColumn("gram", F.explode(grams)).join(names, "gram").filter(F.col("url").contains(F.col("low")))
+    urls = stage(urls.withColumn("place", F.monotonically_increasing_id()), folder, "urls")
+    short = not names.filter(F.length("low") < GRAM).isEmpty()
+    held = urls.select("place", F.explode(_grams(F.col("url"), range(1 if short else GRAM, GRAM + 1))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = names.select("username", "low", F.explode(_grams(F.col("low"), [GRAM])).alias("gram")).unionByName(names.filter(F.length("low") < GRAM).select("username", "low", F.col("low").alias("gram")))
+    rarest = own.join(often, "gram").groupBy("username", "low").agg(F.min(F.struct("n", "gram")).alias("g"), F.count("*").alias("known"))
+    # a gram that no url holds rules the name out
+    whole = rarest.filter(F.col("known") == F.greatest(F.size(_grams(F.col("low"), [GRAM])), F.lit(1))).select("username", "low", F.col("g.gram").alias("gram"))
+    met = held.join(whole, "gram").join(urls, "place").filter(F.col("url").contains(F.col("low")))
     found = met.groupBy("username", "performer_id").agg(F.min("name").alias("name"))
     place = F.row_number().over(Window.partitionBy("username").orderBy("performer_id"))
     return found.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def _grams(c: Column, lengths: Iterable[int]) -> Column:
+    """Distinct substrings of these lengths."""
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(*(of(n) for n in lengths)))

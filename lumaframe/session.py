@@ -41,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _OWN_FOLDER.setdefault(app, tempfile.mkdtemp(prefix="lumaframe-"))
+        if app not in _OWN_FOLDER:
+            _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="lumaframe-")
+        base = _OWN_FOLDER[app]
     folder = f"{base.rstrip('/')}/lumaframe-{uuid.uuid4().hex}"
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
