@@ -84,6 +84,12 @@ def _duplicates(spark: SparkSession, d: str) -> DataFrame:
     return G.duplicate_groups(table(spark, d, "fingerprints"))
 
 
+def report(spark: SparkSession, d: str) -> DataFrame:
+    """What a dry run shows: the members of each group with their sizes."""
+    sizes = current_fingerprints(table(spark, d, "fingerprints"), "width", "height", "file_size").select("image_id", "width", "height", "file_size")
+    return _duplicates(spark, d).join(sizes, "image_id").select("root", "image_id", "width", "height", "file_size")
+
+
 def actions(spark: SparkSession, d: str) -> DataFrame:
     rows = G.group_actions(_duplicates(spark, d), table(spark, d, "group_members"))
     return rows.select("root", "action", "group_id", "n_new", _joined("merged"))
@@ -177,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "probe_actions": probe_actions,
     "duplicate_groups": _duplicates,
     "duplicate_group_names": lambda s, d: G.named_groups(_duplicates(s, d)),
+    "duplicate_report": report,
     "group_actions": actions,
     "next_group_id": lambda s, d: store.next_group_id(table(s, d, "dup_groups")),
     "group_size_classes": lambda s, d: G.size_classes(*tables(s, d, "dup_groups", "group_members")),
@@ -227,6 +234,8 @@ hit AS (
   FROM cur q JOIN cur x ON q.image_id <> x.image_id WHERE q.image_id % 50 = 0),
 m AS (SELECT * FROM hit WHERE same OR distance <= 10)"""
 
+DUPLICATES_SQL = f"WITH RECURSIVE {_CUR}, {_DUP} SELECT image_id, root FROM dup"
+
 _OPEN = _IMG + """,
 o AS (
   SELECT g.group_id, i.* FROM (SELECT DISTINCT group_id, image_id FROM group_members WHERE group_id IS NOT NULL AND image_id IS NOT NULL) m
@@ -299,9 +308,10 @@ held AS (SELECT image_id, min(group_id) AS group_id FROM group_members WHERE ima
 SELECT query_id, CASE count(DISTINCT group_id) WHEN 0 THEN 'new' WHEN 1 THEN 'existing' ELSE 'merge' END AS action,
        coalesce(array_to_string(list_sort(list(DISTINCT group_id) FILTER (WHERE group_id IS NOT NULL)), ','), '') AS groups, count(*) AS n_matches
 FROM m LEFT JOIN held USING (image_id) GROUP BY query_id""",
-    "duplicate_groups": f"WITH RECURSIVE {_CUR}, {_DUP} SELECT image_id, root FROM dup",
+    "duplicate_groups": DUPLICATES_SQL,
     "duplicate_group_names": f"""WITH RECURSIVE {_CUR}, {_DUP}, n AS (SELECT root, count(*) AS n_images, row_number() OVER (ORDER BY root) AS group_id FROM dup GROUP BY root HAVING count(*) >= 2)
 SELECT root, n_images, group_id, 'dedup:group:' || CASE WHEN group_id < 10000 THEN lpad(CAST(group_id AS VARCHAR), 4, '0') ELSE CAST(group_id AS VARCHAR) END AS tag_name FROM n""",
+    "duplicate_report": f"WITH RECURSIVE {_CUR}, {_DUP} SELECT root, image_id, width, height, file_size FROM dup JOIN cur USING (image_id)",
     "group_actions": f"""WITH RECURSIVE {_CUR}, {_DUP},
 held AS (SELECT DISTINCT group_id, image_id FROM group_members WHERE image_id IS NOT NULL AND group_id IS NOT NULL),
 s AS (SELECT root, min(group_id) AS group_id, count(*) FILTER (WHERE group_id IS NULL) AS n_new, list_sort(list(DISTINCT group_id) FILTER (WHERE group_id IS NOT NULL)) AS touched FROM dup LEFT JOIN held USING (image_id) GROUP BY root)

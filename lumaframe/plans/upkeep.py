@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import media as M
 from lumaframe.functions.bits import month
+from lumaframe.plans.library import DUPLICATES_SQL
 from lumaframe.session import shared_folder
 from lumaframe.sources.files import conversion_counts, conversion_plan, package_index, with_extension_in
 from lumaframe.sources.tables import table
-from lumaframe.streaming.hooks import image_events, latest_events, streamed_latest, windowed_counts
+from lumaframe.sources.tasks import parsed_tasks, results
+from lumaframe.streaming.hooks import image_events, latest_events, streamed_groups, streamed_latest, windowed_counts
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +37,14 @@ def packages(spark: SparkSession, d: str) -> DataFrame:
     return package_index(_manifests(spark, d)).withColumn("requires", F.array_join("requires", ","))
 
 
+def _documents_of_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON that a host would send for each event; every fifth is broken off."""
+    rows = table(spark, d, "hook_events").select(F.trim("id").alias("id"), "hook_type").distinct()
+    text = F.concat(F.lit('{"server_connection": {"Port": 9999}, "args": {"mode": "hook", "hookContext": {"type": "'), "hook_type", F.lit('", "id": '), F.col("id").cast("bigint"), F.lit("}}}"))
+    broken = F.col("id").cast("bigint") % 5 == 0
+    return rows.select(F.concat("hook_type", F.lit(" "), "id").alias("name"), F.when(broken, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_by_extension": lambda s, d: with_extension_in(_files(s, d).distinct(), (".png",)).select("path", M.base_name(F.col("path")).alias("base")),
     "conversion_plan": lambda s, d: conversion_plan(_files(s, d), (".png",)),
@@ -42,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "package_index": packages,
     "latest_image_events": lambda s, d: latest_events(image_events(table(s, d, "hook_events"))),
     "streamed_image_events": lambda s, d: streamed_latest(s, f"{d}/hook_events.parquet", shared_folder(s)),
+    "streamed_groups": lambda s, d: streamed_groups(s, f"{d}/fingerprints.parquet", shared_folder(s)),
+    "task_requests": lambda s, d: parsed_tasks(_documents_of_tasks(s, d)).select("name", "mode", "hook_type", "image_id", "error"),
+    "task_results": lambda s, d: results(parsed_tasks(_documents_of_tasks(s, d)).withColumn("output", F.concat_ws(" ", "mode", "image_id"))).select("name", "result"),
     "events_by_day": lambda s, d: windowed_counts(table(s, d, "hook_events")),
     "events_by_month": lambda s, d: image_events(table(s, d, "hook_events")).groupBy(month(F.col("ts")).alias("period"), "hook_type").agg(F.count("*").alias("n_events"), F.countDistinct("image_id").alias("n_images")),
 }
@@ -57,6 +70,12 @@ _LATEST = """
 ev AS (SELECT hook_type, try_cast(trim(id) AS BIGINT) AS image_id, ts FROM hook_events WHERE contains(hook_type, 'Image')),
 le AS (SELECT image_id, ts, hook_type FROM ev WHERE image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY ts DESC, hook_type DESC) = 1)"""
 
+_TASKS = """
+ht AS (SELECT DISTINCT trim(id) AS id, hook_type FROM hook_events),
+tk AS (
+  SELECT hook_type || ' ' || id AS name, CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN 'hook' END AS mode, CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN hook_type END AS kind,
+         CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN CAST(id AS BIGINT) END AS image_id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'input is no JSON document' END AS error FROM ht)"""
+
 SQL: dict[str, str] = {
     "files_by_extension": f"WITH {_FILES} SELECT path, string_split(path, '/')[-1] AS base FROM fl WHERE lower(path) LIKE '%.png'",
     "conversion_plan": f"WITH {_FILES} SELECT path, target, CASE WHEN reason IS NULL THEN 'convert' ELSE 'skip' END AS action, reason FROM pl",
@@ -65,6 +84,9 @@ SQL: dict[str, str] = {
        CASE WHEN p_size % 3 = 0 THEN 'a' || p_size || ',b' || p_size ELSE '' END AS requires FROM part""",
     "latest_image_events": f"WITH {_LATEST} SELECT * FROM le",
     "streamed_image_events": f"WITH {_LATEST} SELECT * FROM le",
+    "streamed_groups": DUPLICATES_SQL,
+    "task_requests": f"WITH {_TASKS} SELECT name, mode, kind AS hook_type, image_id, error FROM tk",
+    "task_results": f"""WITH {_TASKS} SELECT name, CASE WHEN error IS NULL THEN '{{"output":"hook ' || image_id || '"}}' ELSE '{{"error":"' || error || '"}}' END AS result FROM tk""",
     "events_by_day": "SELECT date_trunc('day', ts) AS starts, hook_type, count(*) AS n_events FROM hook_events GROUP BY 1, 2",
     "events_by_month": f"WITH {_LATEST} SELECT strftime(ts, '%Y-%m') AS period, hook_type, count(*) AS n_events, count(DISTINCT image_id) AS n_images FROM ev WHERE image_id IS NOT NULL GROUP BY 1, 2",
 }

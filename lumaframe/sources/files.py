@@ -11,8 +11,8 @@ HEIC = (".heic", ".heif")
 
 
 def library_paths(config: DataFrame) -> DataFrame:
-    """path: the roots in rows of `stashes ARRAY<STRUCT<path>>`."""
-    return config.select(F.explode("stashes.path").alias("path")).filter("path <> ''").distinct()
+    """path: the roots in rows of `roots ARRAY<STRUCT<path>>`."""
+    return config.select(F.explode("roots.path").alias("path")).filter("path <> ''").distinct()
 
 
 def list_files(spark: SparkSession, roots: list[str], pattern: str = "*.[hH][eE][iI][cCfF]") -> DataFrame:

@@ -1,4 +1,4 @@
-from helpers import at, events, rows_of
+from helpers import at, events, fingerprint, fingerprints, rows_of
 from pyspark.sql import functions as F
 
 from lumaframe import schemas
@@ -83,7 +83,7 @@ def test_listing(spark, tmp_path):
 
 
 def test_library_paths(spark):
-    config = spark.createDataFrame([([("/a",), ("/b",), ("",)],)], "stashes array<struct<path:string>>")
+    config = spark.createDataFrame([([("/a",), ("/b",), ("",)],)], "roots array<struct<path:string>>")
     assert rows_of(files.library_paths(config)) == [("/a",), ("/b",)]
 
 
@@ -119,3 +119,40 @@ def test_late_events_are_left_out(spark, tmp_path):
         events(spark, day(d)).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{d}"))
     counts = hooks.windowed_counts(events(spark, day(1) + day(1) + day(2)))
     assert rows_of(counts.select(F.dayofmonth("starts").alias("d"), "n_events")) == [(1, 2), (2, 1)]
+
+
+def test_streamed_groups_equal_batch(spark, tmp_path):
+    from lumaframe.operators.groups import duplicate_groups
+
+    rows = [fingerprint(1, 1, 0), fingerprint(2, 2, 255 << 8), fingerprint(3, 3, 65535), fingerprint(4, 4, -1), fingerprint(5, 4, 1 << 40), fingerprint(6, 9, 0x5555 << 30), fingerprint(7, 1, 0)]
+    source = str(tmp_path / "fingerprints.parquet")
+    for part in (rows[:2], rows[3:5], rows[5:], rows[2:3]):  # the third image comes last and bridges the first two
+        fingerprints(spark, part).coalesce(1).write.mode("append").parquet(source)
+    want = rows_of(duplicate_groups(fingerprints(spark, rows), 8), "image_id", "root")
+    assert rows_of(hooks.streamed_groups(spark, source, str(tmp_path / "out"), 8), "image_id", "root") == want
+
+
+def test_tasks(spark):
+    from lumaframe.sources.tasks import parsed_tasks, results
+
+    texts = spark.createDataFrame([("a", '{"args": {"mode": "scan"}}'), ("b", "{broken"), ("c", None), ("d", "{}")], "name string, text string")
+    got = {r.name: (r.mode, r.error) for r in parsed_tasks(texts).collect()}
+    assert got["a"] == ("scan", None) and got["b"][1] == got["c"][1] == "input is no JSON document" and got["d"] == (None, None)
+    out = {r.name: r.result for r in results(parsed_tasks(texts).withColumn("output", F.lit("done"))).collect()}
+    assert out["a"] == '{"output":"done"}' and out["b"] == '{"error":"input is no JSON document"}'
+
+
+def test_decoders(spark):
+    from lumaframe.functions.bits import difference_hash
+    from lumaframe.sources.decoders import fingerprinted, gray_raster, portable_map
+
+    px = bytes(2 * x + y // 2 for y in range(80) for x in range(90))
+    pgm = b"P5\n# made here\n90 80\n255\n" + px
+    assert portable_map(pgm).shape == (80, 90) and len(gray_raster(portable_map(pgm))) == 72
+    df = spark.createDataFrame([("a", pgm), ("b", b"nothing"), ("c", None)], "path string, content binary")
+    got = {r.path: r for r in fingerprinted(df).collect()}
+    assert got["a"].dhash_full == 0 and got["a"].width == 90 and got["a"].error is None and len(got["a"].file_hash) == 64
+    assert got["b"].dhash_full is None and got["b"].error and got["c"].file_hash is None
+    mirror = b"P5 90 80 255\n" + bytes(px[y * 90 + 89 - x] for y in range(80) for x in range(90))
+    assert fingerprinted(spark.createDataFrame([("m", mirror)], "path string, content binary")).first().dhash_full == -1
+    assert spark.createDataFrame([(gray_raster(portable_map(mirror)),)], "px binary").select(difference_hash(F.col("px"))).first()[0] == -1
