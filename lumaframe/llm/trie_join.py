@@ -34,6 +34,7 @@ FRONTIER = 1 << 18  #: node pairs walked together
 ROWS = 1 << 21  #: hashes compared together
 PARTNERS = 4  #: partner leaves that meet a host leaf in one task
 LEAF_HASHES = 1 << 17  #: hashes in a leaf of the upper trie, at least
+LEAF_MOST = 1 << 22  #: and at most, as long as the histogram can tell leaves that small apart; 32 MB
 
 
 class Part(NamedTuple):
@@ -195,7 +196,7 @@ def plan(counts: np.ndarray, parts: list[Part]) -> Plan:
     blocks by a hash, each a leaf, and all pairs of its blocks are joined: no task ever gets a third of all hashes.
     """
     n = int(counts[0].sum())
-    cap = max(LEAF_HASHES, n // 512)
+    cap = max(LEAF_HASHES, min(n // 32, LEAF_MOST), n // 512)  # larger leaves have fewer partners, so hashes fewer copies
     first_leaf, blocks, targets, part_of, leaves = [], [], defaultdict(list), [], 0
     for i, part in enumerate(parts):
         top = min(TOP, part.length)
@@ -306,7 +307,8 @@ def near_values(values: DataFrame, budget: int) -> DataFrame:
     """Pairs (x, y), x < y, of the distinct BIGINTs in column v that differ in `budget` bits at most; each pair once.
 
     `values` should be a written table: it is counted, then read twice. The driver gets 256 counts a part. Each hash is
-    shuffled, packed to 8 bytes, to the tasks of its leaf in each part: 2 to 5 of them at 10**6 hashes.
+    shuffled, packed to 8 bytes, to the tasks of its leaf in each part, 8 or 9 in all at 10**6 hashes; larger leaves keep
+    that number down as the hashes grow, until a leaf has LEAF_MOST of them.
     """
     spark = values.sparkSession
     empty = spark.createDataFrame([], "x bigint, y bigint")
