@@ -25,7 +25,7 @@ from lumaframe.session import shared_folder, stage
 KINDS = ("prose", "list", "table", "junk")
 ROUNDS = 12
 TRIGRAMS = 1 << 16  #: bins of the hashed counts of letter trigrams
-WINDOW = 40  #: words among which repetition is measured, one window after the other
+WINDOW = 40  #: words among which repetition is measured, one window after the other, the last one ending with the text
 MOST_COMMON = 10_000  #: common words
 ENTRIES = 5  #: an enumeration of fewer bare entries is no case
 
@@ -128,7 +128,7 @@ def features(text: str, common: frozenset[str], familiar: np.ndarray) -> tuple[l
     entries = [e for e in _CUT.split(joined) if e and any(c.isalnum() for c in e)]
     lines = [x.rstrip() for x in text.split("\n") if x.strip()]
     lower = [w.lower() for w in words]
-    windows = [lower[i : i + WINDOW] for i in range(0, max(1, n - WINDOW + 1), WINDOW)]
+    windows = [lower[i : i + WINDOW] for i in [*range(0, n - WINDOW, WINDOW), max(0, n - WINDOW)]]  # every word, and none too short to compare
     variety = sum(len(set(w)) for w in windows) / max(1, sum(map(len, windows)))
     top = max(Counter(lower).values(), default=0) / max(1, n)
     bins = _trigrams(words)

@@ -96,3 +96,19 @@ def test_distributed_rounds_equal_local_ones(spark):
 
 def test_examples_name_every_kind():
     assert {k for k, _, _ in examples()} == set(P.KINDS) and examples() == examples()
+
+
+@pytest.mark.parametrize("n", [1, 39, 40, 41, 79, 80, 81, 119, 120])
+def test_every_word_lies_in_a_window(n):
+    """Distinct words, but the last one repeats the one before it: variety shows it wherever the text ends."""
+    words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(max(1, n - 1))]
+    variety = lambda w: P.features(" ".join(w), frozenset(), np.zeros(P.TRIGRAMS))[0][P.FEATURES.index("variety")]
+    assert variety(words) == 1
+    assert n == 1 or variety([*words, words[-1]]) < 1
+
+
+def test_repetition_at_the_end_of_a_text():
+    """79 words, the last 44 of which repeat one phrase."""
+    prose = "we bought this lamp for our hallway because it seemed bright enough while my father likes its colour although nobody can reach that tiny switch without standing on one old wooden chair near every large window upstairs".split()[:35]
+    row = P.features(" ".join(prose + "very good shop here".split() * 11), frozenset(), np.zeros(P.TRIGRAMS))[0]
+    assert len(set(prose)) == 35 and row[P.FEATURES.index("variety")] == (35 + 4 + 4) / 80
