@@ -73,6 +73,13 @@ def updated_members(components_: DataFrame, members: DataFrame, next_id: int) ->
     return kept.unionByName(goal).distinct()
 
 
+def reopened_groups(groups: DataFrame, actions: DataFrame) -> DataFrame:
+    """The groups with resolved = 0 where an action extends them or merges others into them: their new members are to be resolved."""
+    grown = actions.filter("action <> 'create'").select("group_id").distinct().withColumn("grown", F.lit(True))
+    joined = groups.join(grown, "group_id", "left")
+    return joined.select(*(F.when(F.col("grown"), 0).otherwise(F.col(c)).alias(c) if c == "resolved" else F.col(c) for c in groups.columns))
+
+
 def probe_actions(matches: DataFrame, members: DataFrame) -> DataFrame:
     """query_id, action (existing, merge, new), groups, n_matches: what the matches of a new image mean.
 

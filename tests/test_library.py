@@ -170,3 +170,21 @@ def test_store(spark, tmp_path):
 def test_size_classes(spark):
     got = G.size_classes(groups(spark, [(1, "a", at(1)), (2, "b", at(1)), (3, "c", at(1))]), members(spark, [(1, 1), (1, 1), (2, 1), (2, 2)]))
     assert rows_of(got, "size_class", "n_groups") == [("empty", 1), ("several", 1), ("single", 1)]
+
+
+def test_growing_reopens_a_resolved_group(spark):
+    from helpers import at, images, members, rows_of
+
+    from lumaframe import schemas
+    from lumaframe.operators import groups as G
+    from lumaframe.operators.resolve import open_members
+
+    held = members(spark, [(1, 10), (1, 11), (2, 20), (2, 21), (3, 30), (3, 31), (4, 40), (4, 41)])
+    known = spark.createDataFrame([(g, f"t{g}", done, at(1)) for g, done in ((1, 1), (2, 1), (3, 0), (4, 1))], schemas.DUP_GROUP)
+    found = [(10, 10), (11, 10), (12, 10), (20, 20), (21, 20), (30, 20), (31, 20), (40, 40), (41, 40), (50, 50), (51, 50)]
+    comps = spark.createDataFrame(found, "image_id bigint, root bigint")
+    now = G.reopened_groups(known, G.group_actions(comps, held))
+    assert now.columns == known.columns and rows_of(now, "group_id", "resolved") == [(1, 0), (2, 0), (3, 0), (4, 1)]
+    library = images(spark, [(str(i), {}) for i, _ in found]).withColumnRenamed("id", "image").selectExpr("cast(image as bigint) AS image_id", "tags")
+    waiting = rows_of(open_members(now, G.updated_members(comps, held, 5), library), "group_id", "image_id")
+    assert waiting == [(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (2, 30), (2, 31)]
