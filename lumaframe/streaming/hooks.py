@@ -12,7 +12,6 @@ from lumaframe.operators.components import components
 from lumaframe.operators.current import current_fingerprints
 from lumaframe.operators.similarity import matches_of
 from lumaframe.schemas import FINGERPRINT, HOOK_EVENT
-from lumaframe.sources.store import upsert
 
 
 def is_image_event(kind: Column) -> Column:
@@ -79,10 +78,10 @@ def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "2 day
 def streamed_groups(spark: SparkSession, source: str, folder: str, threshold: int = 10) -> DataFrame:
     """image_id, root: duplicate groups kept up to date as fingerprints arrive, batch by batch.
 
-    Each batch upserts its fingerprints, compares them with all that are known (a stated set of queries against all rows),
+    Each batch upserts its fingerprints, of an image the one with the latest created_at whenever it arrives, compares them with all that are known (a stated set of queries against all rows),
     and joins the new links with the stars of the groups so far; a link between two groups merges them. Only the batch is
-    compared, never the history with itself. Where no image is fingerprinted twice, the result is that of
-    duplicate_groups over the whole table. Batch n reads snapshot n - 1 and writes snapshot n.
+    compared, never the history with itself. Where no batch replaces a fingerprint of an earlier one, the
+    result is that of duplicate_groups over the whole table; links of a replaced fingerprint stay. Batch n reads snapshot n - 1 and writes snapshot n.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -92,15 +91,17 @@ def streamed_groups(spark: SparkSession, source: str, folder: str, threshold: in
 
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        new = current_fingerprints(batch, "digest", "dhash_full", "dhash_crop").select("image_id", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
+        new = current_fingerprints(batch, "digest", "dhash_full", "dhash_crop").select("image_id", "created_at", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
         held = session.read.parquet(f"{folder}/prints/{number - 1}") if number else new.limit(0)
-        upsert(held, new, "image_id").write.mode("overwrite").parquet(f"{folder}/prints/{number}")
+        latest = held.unionByName(new).groupBy("image_id").agg(F.max(F.struct("created_at", "digest", "full", "crop")).alias("r")).select("image_id", "r.*")
+        latest.write.mode("overwrite").parquet(f"{folder}/prints/{number}")
         known = session.read.parquet(f"{folder}/prints/{number}")
         # copies of one file hang on its least image; classes of equal hashes stand for their images in the comparison
         exact = known.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("image_id").alias("a"))
         links = known.join(exact, "digest").select("a", F.col("image_id").alias("b")).filter("a <> b")
-        reps = lambda rows: rows.groupBy("digest", "full", "crop").agg(F.min("image_id").alias("image_id"))
-        near = matches_of(reps(new), reps(known), threshold).select(F.col("query_id").alias("a"), F.col("image_id").alias("b"))
+        own = F.when(F.col("digest").isNull(), F.col("image_id"))  # an unknown digest is shared by nobody
+        reps = lambda rows: rows.groupBy("digest", own, "full", "crop").agg(F.min("image_id").alias("image_id"))
+        near = matches_of(reps(known.join(new, "image_id", "left_semi")), reps(known), threshold).select(F.col("query_id").alias("a"), F.col("image_id").alias("b"))
         links = links.unionByName(near)
         if number:
             links = links.unionByName(session.read.parquet(f"{folder}/groups/{number - 1}").select(F.col("root").alias("a"), F.col("image_id").alias("b")))

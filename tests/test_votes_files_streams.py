@@ -132,6 +132,21 @@ def test_streamed_groups_equal_batch(spark, tmp_path):
     assert rows_of(hooks.streamed_groups(spark, source, str(tmp_path / "out"), 8), "image_id", "root") == want
 
 
+def test_streamed_groups_late_rows_and_unknown_digests(spark, tmp_path):
+    from lumaframe.operators.groups import duplicate_groups
+
+    parts = [
+        [fingerprint(1, 1, 0, created=at(5)), fingerprint(2, 2, -1), fingerprint(3, None, 0x5555555 << 30), fingerprint(4, None, 0x5555555 << 30)],
+        [fingerprint(1, 1, -1, created=at(2)), fingerprint(5, 5, 0)],  # an older row of image 1 arrives later
+    ]
+    source = str(tmp_path / "fingerprints.parquet")
+    for part in parts:
+        fingerprints(spark, part).coalesce(1).write.mode("append").parquet(source)
+    want = rows_of(duplicate_groups(fingerprints(spark, sum(parts, [])), 8), "image_id", "root")
+    assert want == [(1, 1), (3, 3), (4, 3), (5, 1)]
+    assert rows_of(hooks.streamed_groups(spark, source, str(tmp_path / "out"), 8), "image_id", "root") == want
+
+
 def test_tasks(spark):
     from lumaframe.sources.tasks import parsed_tasks, results
 
