@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumaframe.llm.batches import repeated_images
+from lumaframe.llm.batches import nearest_accepted, repeated_images
 from lumaframe.llm.linked_sets import linked_images
 from lumaframe.llm.mixing import mix
 from lumaframe.llm.packing import fill_report, pack
@@ -17,6 +17,7 @@ from lumaframe.sources.tables import table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: repeated_images(table(spark, d, "fingerprints")),
+    "p1_nearest": lambda spark, d: nearest_accepted(table(spark, d, "fingerprints")),
     "p3_found": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints"), None, "current").select("group_id", "image_id"),
     "p3_records": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints", "images")),
     "p4_found": lambda spark, d: linked_images(*tables(spark, d, "group_members", "dup_groups")),
@@ -38,7 +39,37 @@ cur AS (
   FROM log QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY created_at DESC) = 1)
 """
 
+# step k holds what is accepted in the first k months; the recursive term sees only the step before it
+_TAKEN = """,
+k AS (SELECT min(image_id) AS id, digest, f, min(period) AS period FROM cur WHERE period IS NOT NULL GROUP BY digest, f, CASE WHEN digest IS NULL THEN image_id END),
+m AS (SELECT *, dense_rank() OVER (ORDER BY period) AS at FROM k),
+near AS (
+  SELECT b.id AS b, a.id AS a, CASE WHEN bit_count(xor(a.f, b.f)) <= 3 THEN CAST(bit_count(xor(a.f, b.f)) AS INT) END AS distance, coalesce(a.digest = b.digest, false) AS same_file
+  FROM m a JOIN m b ON a.at < b.at AND (a.digest = b.digest OR bit_count(xor(a.f, b.f)) <= 3)),
+acc AS (
+  SELECT CAST(1 AS BIGINT) AS step, id FROM m WHERE at = 1
+  UNION ALL
+  SELECT step + 1, id FROM (
+    SELECT step, id FROM acc
+    UNION ALL
+    SELECT s.step, m.id FROM m JOIN (SELECT max(step) AS step FROM acc) s ON m.at = s.step + 1
+    WHERE m.id NOT IN (SELECT n.b FROM near n JOIN acc ON acc.id = n.a))
+  WHERE step < (SELECT max(at) FROM m)),
+fin AS (SELECT id FROM acc WHERE step = (SELECT max(at) FROM m)),
+rep AS (SELECT id FROM m WHERE id NOT IN (SELECT id FROM fin))
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _CURRENT + _TAKEN + """
+SELECT c.image_id FROM cur c JOIN m ON c.digest IS NOT DISTINCT FROM m.digest AND c.f IS NOT DISTINCT FROM m.f AND (c.digest IS NOT NULL OR c.image_id = m.id)
+WHERE c.period > m.period OR m.id IN (SELECT id FROM rep)""",
+    "p1_nearest": _CURRENT + _TAKEN + """,
+hit AS (SELECT n.* FROM near n JOIN fin ON fin.id = n.a),
+file AS (SELECT b, min(a) AS a FROM hit WHERE same_file GROUP BY b),
+far AS (SELECT b, min(distance) AS distance FROM hit GROUP BY b),
+one AS (SELECT hit.b, min(hit.a) AS a FROM hit JOIN far ON far.b = hit.b AND far.distance = hit.distance GROUP BY hit.b)
+SELECT rep.id AS class_id, coalesce(file.a, one.a) AS near_id, far.distance, file.a IS NOT NULL AS same_file
+FROM rep LEFT JOIN file ON file.b = rep.id LEFT JOIN one ON one.b = rep.id LEFT JOIN far ON far.b = rep.id""",
     "p3_found": _CURRENT + """,
 mem AS (SELECT DISTINCT group_id, image_id FROM group_members WHERE group_id IS NOT NULL),
 k AS (

@@ -1,8 +1,8 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import at, crowded, fingerprint, fingerprints, rows_of
-from pyspark.sql import functions as F
 
 from lumaframe.llm import batches as B
 from lumaframe.session import shared_folder
@@ -45,11 +45,12 @@ def plain(rows):
     return [(r[0], None if r[1] is None else r[1].strip().lower(), r[2], None if r[7] is None else r[7].month) for r in rows]
 
 
-@pytest.mark.parametrize("halves", [False, True])
-def test_against_brute_force(spark, monkeypatch, halves):
-    if halves:
-        monkeypatch.setattr(B, "HALVES_FROM", 1)
-    rows = library(6 + halves)
+@pytest.mark.parametrize("hot", [False, True])
+def test_against_brute_force(spark, monkeypatch, hot):
+    if hot:  # cells are merged after every second batch and dealt as soon as they hold a few records; batches are probed in two parts
+        for name, value in (("MERGE_AFTER", 2), ("DEAL", 3), ("PART", 20), ("SPLIT", 40), ("SMALL", 60)):
+            monkeypatch.setattr(B, name, value)
+    rows = library(6 + hot)
     df = fingerprints(spark, rows + rows[:7] + [fingerprint(None, 1, 0)])
     got = rows_of(B.repeated_images(crowded(df)), "image_id")
     assert len(got) == len(set(got)) and set(got) == brute(plain(rows))
@@ -71,27 +72,76 @@ def test_empty_and_one_month(spark):
     assert B.repeated_images(fingerprints(spark, [fingerprint(1), fingerprint(2)])).count() == 0
 
 
+def rows(spark, *r):
+    return spark.createDataFrame(list(r), "key bigint, hash bigint, digest binary")
+
+
 def test_index_is_kept(spark):
-    """Cells are reopened by path, and a batch is taken without touching the files of earlier ones."""
+    """A second session goes on from the stored cells; a batch taken before changes nothing; the nearest record comes out."""
+    folder = shared_folder(spark)
+    first = rows(spark, (1, 0, b"a"), (2, -1, None), (9, 0, b"z"))
+    index = B.CellIndex.create(spark, f"{folder}/accepted", first, 100)
+    assert B.take_batch(index, first, 3, f"{folder}/taken", "one").count() == 0
+    index.close()
+    index = B.CellIndex.open(spark, f"{folder}/accepted")
+    second = rows(spark, (3, 7, b"b"), (4, 255, b"c"), (5, None, b"a"), (6, 1, b"z"), (7, None, None))
+    want = [(3, 1, 3, False), (5, 1, None, True), (6, 9, 1, True)]
+    assert rows_of(B.take_batch(index, second, 3, f"{folder}/taken", "two"), "key", "near", "distance", "same_file") == want
+    assert rows_of(B.take_batch(index, second, 3, f"{folder}/taken", "two"), "key", "near", "distance", "same_file") == want  # not all repeats of themselves
+    index.merge()
+    index.close()
+    index = B.CellIndex.open(spark, f"{folder}/accepted")
+    assert index.taken("one") and index.taken("two") and not index.taken("three")
+    assert rows_of(B.take_batch(index, rows(spark, (10, 254, None), (11, 7, b"c")), 3, f"{folder}/taken", "three"), "key", "near", "distance", "same_file") == [(10, 4, 1, False), (11, 4, 3, True)]
+    index.close()
+
+
+def test_failed_append_is_not_read(spark):
+    folder = shared_folder(spark)
+    index = B.CellIndex.create(spark, f"{folder}/accepted", rows(spark, (1, 0, b"a")), 100)
+    index.append(rows(spark, (1, 0, b"a")), "one")
+    state = dict(index.state, batches=["one"])
+    index.append(rows(spark, (2, 255, b"b")), "two")
+    index.state = state  # as if the state of batch two had not been written
+    assert index.matches(rows(spark, (3, 255, b"b")), 3, folder, "m").count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 3, 10, 20])
+def test_any_radius_against_brute_force(spark, radius):
+    r = np.random.default_rng(radius)
+    base = r.integers(0, 2**64, 30, dtype=np.uint64)
+    noisy = lambda n: base[r.integers(0, 30, n)] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (n, 12), dtype=np.uint64) * (r.random((n, 12)) < 0.5).astype(np.uint64), axis=1)
+    old, new = noisy(300), noisy(120)
     folder = shared_folder(spark)
-    rows = lambda *r: spark.createDataFrame(list(r), "key bigint, hash bigint, digest binary")
-    index = B.CellIndex(spark, f"{folder}/accepted", 3, 100)
-    index.append(rows((1, 0, b"a"), (2, -1, None)))
-    index.save()
-    reopened = B.CellIndex.open(spark, f"{folder}/accepted")
-    assert (reopened.blocks, reopened.buckets) == (index.blocks, index.buckets)
-    before = {r[0] for r in spark.read.parquet(f"{folder}/accepted/cells").select(F.input_file_name()).distinct().collect()}
-    assert rows_of(B.take_batch(reopened, rows((3, 7, b"b"), (4, 255, b"c"), (5, None, b"a")), folder, "r1")) == [(3,), (5,)]
-    after = {r[0] for r in spark.read.parquet(f"{folder}/accepted/cells").select(F.input_file_name()).distinct().collect()}
-    assert before < after
-    assert rows_of(reopened.matches(rows((6, 254, b"x"), (7, 7 << 40, None)))) == [(6,), (7,)]
+    df = lambda v, at: rows(spark, *((at + i, int(h), None) for i, h in enumerate(v.view(np.int64))))
+    index = B.CellIndex.create(spark, f"{folder}/accepted", df(old, 0), 300)
+    assert len(index.centers) > 8
+    index.append(df(old, 0), "one")
+    got = {x.hash: (x.distance, x.near) for x in index.matches(df(new, 1000), radius, folder, "m").collect()}
+    d = np.bitwise_count(new[:, None] ^ old[None, :]).astype(int)
+    want = {int(h): (int(row.min()), int(np.flatnonzero(row == row.min())[0])) for h, row in zip(new.view(np.int64), d) if row.min() <= radius}
+    assert got == want
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(5)
+    v = r.integers(0, 2**64, 400, dtype=np.uint64)
+    centers = B.train(v, 16)
+    cell, ring = B.assign(v, centers)
+    low, high = np.full(len(centers), 99), np.full(len(centers), -1)
+    np.minimum.at(low, cell, ring), np.maximum.at(high, cell, ring)
+    q = r.integers(0, 2**64, 50, dtype=np.uint64)
+    bound = B.bounds(np.bitwise_count(q[:, None] ^ centers[None, :]).astype(int), low, high)
+    for c in np.unique(cell):
+        assert (np.bitwise_count(q[:, None] ^ v[cell == c][None, :]).min(axis=1) >= bound[:, c]).all()
 
 
 def test_history_is_not_shuffled(spark):
     folder = shared_folder(spark)
-    index = B.CellIndex(spark, f"{folder}/accepted", 3, 100)
-    batch = spark.createDataFrame([(1, 0, b"a")], "key bigint, hash bigint, digest binary")
-    index.append(batch)
-    plan = index.matches(batch)._jdf.queryExecution().executedPlan().toString()
-    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
-    assert plan.count("hashpartitioning(cell") == 1  # the batch's only
+    batch = rows(spark, (1, 0, b"a"))
+    index = B.CellIndex.create(spark, f"{folder}/accepted", batch, 100)
+    index.append(batch, "one")
+    sent = batch.selectExpr("true AS known", "hash", "digest").mapInPandas(index._router(3, True), B._SENT)
+    found = sent.groupBy("part").cogroup(index._stored().groupBy("part")).applyInPandas(index._comparer(3, True), B._FOUND)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("hashpartitioning(part") == 1  # the batch's only
