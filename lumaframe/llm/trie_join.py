@@ -32,6 +32,7 @@ LEAF_PAIRS = 64  #: node pairs of no more hash pairs than this are compared at o
 GIANT_PAIRS = 1 << 24  #: node pairs of more hash pairs than this, at the end of a part, are joined by their other parts
 FRONTIER = 1 << 18  #: node pairs walked together
 ROWS = 1 << 21  #: hashes compared together
+PAIRS = 1 << 20  #: found pairs that a task hands on together
 PARTNERS = 4  #: partner leaves that meet a host leaf in one task
 LEAF_HASHES = 1 << 17  #: hashes in a leaf of the upper trie, at least
 LEAF_MOST = 1 << 22  #: and at most, as long as the histogram can tell leaves that small apart; 32 MB
@@ -286,19 +287,27 @@ def _router(p: Plan, parts: list[Part]):
 
 
 def _joiner(part_of: list[int], parts: list[Part], budget: int):
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches)  # leaves, whose size is bounded; their pairs, which may be many more, leave as they are found
         i = part_of[int(key[0])]
         take = lambda mask: np.frombuffer(b"".join(rows.loc[mask, "packed"]), dtype=np.uint64)
         host, others = take(rows["role"] > 0), take(rows["role"] == 0)
-        found = []
-        if (rows["role"] == 2).any():
-            found += [(host[x], host[y]) for x, y in _one(host, host, True, budget, parts, i)]
-        if len(others) and len(host):
-            found += [(host[x], others[y]) for x, y in _one(host, others, False, budget, parts, i)]
-        if not found:
-            return pd.DataFrame({"x": np.empty(0, np.int64), "y": np.empty(0, np.int64)})
-        x, y = (np.concatenate(c).view(np.int64) for c in zip(*found))
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        kept, n = [(host[:0], host[:0])], 0
+
+        def flush() -> pd.DataFrame:
+            x, y = (np.concatenate(c).view(np.int64) for c in zip(*kept))
+            return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+        own = _one(host, host, True, budget, parts, i) if (rows["role"] == 2).any() else ()
+        across = _one(host, others, False, budget, parts, i) if len(others) and len(host) else ()
+        for other, found in ((host, own), (others, across)):
+            for x, y in found:
+                kept.append((host[x], other[y]))
+                n += len(x)
+                if n >= PAIRS:
+                    yield flush()
+                    kept, n = kept[:1], 0
+        yield flush()
 
     return join
 
@@ -320,7 +329,7 @@ def near_values(values: DataFrame, budget: int) -> DataFrame:
 
     def node(p: Part):
         turned = F.shiftleft(bits, p.start).bitwiseOR(F.shiftrightunsigned(bits, BITS - p.start)) if p.start else bits
-        return F.shiftrightunsigned(turned, BITS - min(TOP, p.length)) + F.lit(len(parts) * 0)
+        return F.shiftrightunsigned(turned, BITS - min(TOP, p.length))
 
     cells = F.explode(F.array(*(node(p) + (i << TOP) for i, p in enumerate(parts)))).alias("cell")
     counts = np.zeros((len(parts), 1 << TOP), dtype=np.int64)
