@@ -73,16 +73,23 @@ def test_token_counts(spark):
     assert got[501] == got[502] == 0 and got[503] == 1 and got[500] > 3000
 
 
-def test_rates_reach_the_targets():
-    rate = mixing.rates({"a": 1000, "b": 100, "c": 500}, {"a": (0.5, 2), "b": (0.2, 4), "c": (0.3, 3), "d": (0.1, 5)})
-    got = {s: rate[s] * n for s, n in {"a": 1000, "b": 100, "c": 500}.items()}
-    total = sum(got.values())
-    assert total >= 800 and rate["b"] == 4  # b is at its cap: half an epoch is asked for at least
+def test_rates_reach_the_targets(spark):
+    def rates(available, targets, **more):
+        rows = [(s, n, *targets[s]) for s, n in available.items() if s in targets]
+        return {r.source: r.rate for r in mixing.rates(spark.createDataFrame(rows, "source string, available bigint, share double, cap int"), **more).collect()}
+
+    sizes = {"a": 1000, "b": 100, "c": 500}
+    rate = rates(sizes, {"a": (0.5, 2), "b": (0.2, 4), "c": (0.3, 3), "d": (0.1, 5)})
+    got = {s: rate[s] * n for s, n in sizes.items()}
+    assert sum(got.values()) == pytest.approx(2000) and rate["b"] == 4  # where b reaches its cap
     assert got["a"] / got["c"] == pytest.approx(0.5 / 0.3)
-    rate = mixing.rates({"a": 100, "b": 100}, {"a": (0.5, 2), "b": (0.5, 3)})
-    assert rate == {"a": 2, "b": 2}  # the largest total at which both reach their share
-    assert mixing.rates({}, {"a": (1.0, 2)}) == {} and mixing.rates({"a": 5}, {"a": (0.0, 2)}) == {}
-    assert mixing.rates({"a": 100, "b": 100}, {"a": (0.5, 1), "b": (0.5, 1)}, total=10**9) == {"a": 1, "b": 1}
+    exact = rates(sizes, {"a": (0.5, 2), "b": (0.2, 4), "c": (0.3, 3)}, least_epoch=0)
+    assert [exact[s] * n / (0.4 * 5000) for s, n in sizes.items()] == pytest.approx([0.5, 0.2, 0.3])
+    assert rates({"a": 100, "b": 100}, {"a": (0.5, 2), "b": (0.5, 3)}) == {"a": 2, "b": 2}  # the largest total at which both reach their share
+    assert rates({}, {"a": (1.0, 2)}) == {} and rates({"a": 5}, {"a": (0.0, 2)}) == {}
+    assert rates({"a": 100, "b": 100}, {"a": (0.5, 1), "b": (0.5, 1)}, total=10**9) == {"a": 1, "b": 1}
+    steps = rates({c: 10 * 2**i for i, c in enumerate("abcdef")}, {c: (1.0, 1) for c in "abcdef"}, total=500)  # one source after the other gets full
+    assert [round(v * 10 * 2**i, 6) for i, (_, v) in enumerate(sorted(steps.items()))] == [10, 20, 40, 80, 160, 190]
 
 
 @pytest.mark.parametrize("dress", [lambda x: x, crowded])
@@ -112,3 +119,44 @@ def test_mix_empty(spark):
     assert chosen.count() == 0 and report.first().mixed_tokens == 0
     chosen, report = mixing.mix(documents(spark), targets.limit(0))
     assert chosen.count() == 0 and report.count() > 0
+
+
+def test_mixing_thousands_of_sources(spark):
+    n = 10_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('s', id) AS source", "'some words' AS text")
+    targets = spark.range(n).selectExpr("concat('s', id) AS source", "1.0D AS target_share", "2 AS max_repeats")
+    chosen, report = mixing.mix(docs, targets)
+    assert report.count() == n and chosen.filter("copies <> 2").count() == 0
+
+
+def test_null_ids_draw_apart(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a' AS source", "concat('text ', id) AS text")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    n = mixing.mix(docs, targets, total=600)[0].count()
+    assert 0 < n < 400
+
+
+def test_thousands_of_container_sizes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    docs = documents(spark).limit(40)
+    sizes = spark.range(1, 17).selectExpr("concat('c', id) AS container", "CAST(20 * id AS INT) AS capacity_tokens")
+    got = packing.fill_report(packing.pack(docs, sizes)).collect()
+    assert len(got) == 16 and len({r.n_tokens for r in got}) == 1
+
+
+def test_ends_of_ranges(spark, monkeypatch):
+    """Many ranges lose little: what is open at the end of each."""
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 2000)
+    docs = documents(spark).filter("doc_id < 500")
+    sizes = spark.createDataFrame([("s", 64)], "container string, capacity_tokens int")
+    packed = packing.pack(docs, sizes)
+    report = packing.fill_report(packed).first()
+    want = sum(len(encoder(VOCABULARY).encode_ordinary(r.text)) for r in docs.collect() if r.text)
+    assert report.n_tokens == want and report.filled > 0.93
+    assert packed.selectExpr("container_id >> 40 AS r").distinct().count() > 4
+
+
+def test_neighbours(spark):
+    docs = documents(spark)
+    r = packing.neighbour_report(docs, spark.createDataFrame([("s", 200)], "container string, capacity_tokens int")).first()
+    assert r.n_pairs > 0 and -1 <= r.cosine_of_any <= r.cosine <= 1.3
