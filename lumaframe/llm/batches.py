@@ -44,6 +44,7 @@ MERGE_AFTER = 6  #: batches whose rows are merged with what was merged before
 _SCHEMA = "part INT, key BIGINT, batch STRING, n INT, low INT, high INT, packed BINARY, rings BINARY, ids BINARY"
 _SENT = "part int, key bigint, packed binary"
 _FOUND = "of_file boolean, hash bigint, digest binary, distance int, near bigint"  # of a file the digest, else the hash
+TOGETHER = 4  #: distances from the centroid whose queries are compared together
 NONE = 99  #: the distance where nothing was found
 _KEY_BITS = 20  #: of a key, below the cell: the piece of the cell
 
@@ -107,6 +108,15 @@ def _packed(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(keys[a]), values[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
 
 
+def _by_key(rows: pd.DataFrame, *columns: str) -> dict[int, tuple[bytes, ...]]:
+    """The packs of each key, one behind the other."""
+    out: dict[int, list[list[bytes]]] = {}
+    for key, *packs in zip(rows["key"].tolist(), *(rows[c] for c in columns)):
+        for held, pack in zip(out.setdefault(key, [[] for _ in columns]), packs):
+            held.append(pack)
+    return {key: tuple(b"".join(p) for p in packs) for key, packs in out.items()}
+
+
 def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept, n = [], 0
     for batch in batches:
@@ -123,9 +133,9 @@ def nearest_in(q: np.ndarray, stored: np.ndarray, rings: np.ndarray, ids: np.nda
     """Of the queries with a stored hash within the radius: their places, the least distance, and the least id at it. stored in order of rings."""
     d = np.bitwise_count(q ^ center).astype(np.int64)
     at, far, near = [], [], []
-    for value in np.unique(d):
-        lo, hi = np.searchsorted(rings, value - radius, "left"), np.searchsorted(rings, value + radius, "right")
-        of = np.flatnonzero(d == value)
+    for value in np.unique(d // TOGETHER) * TOGETHER:
+        lo, hi = np.searchsorted(rings, value - radius, "left"), np.searchsorted(rings, value + TOGETHER - 1 + radius, "right")
+        of = np.flatnonzero((d >= value) & (d < value + TOGETHER))
         step = max(1, BLOCK // max(1, hi - lo))
         for a in range(0, len(of) if hi > lo else 0, step):
             rows = of[a : a + step]
@@ -220,7 +230,7 @@ class CellIndex:
                     known = rows.loc[rows["digest"].notna(), "digest"]
                     if len(known):
                         w = np.unique(_digests(known), axis=0)
-                        key, at = keys(n_cells + (w[:, 0] % np.uint64(n_cells)).astype(np.int64), w[:, 1], True)
+                        key, at = keys(n_cells + (w[:, 0] % np.uint64(parts)).astype(np.int64), w[:, 1], True)
                         out += _packed(key, w[at])
                 else:
                     limit = np.minimum(there["distance"].to_numpy(np.int64), radius)  # what is nearer, or as near: of equals the least id counts
@@ -239,36 +249,38 @@ class CellIndex:
         shared = self.spark.sparkContext.broadcast(self.centers)
         n_cells = len(self.centers)
 
-        def found(of_file: bool, hashes: object, digests: object, distance: object, near: object) -> pd.DataFrame:
-            return pd.DataFrame({"of_file": np.full(len(near), of_file), "hash": hashes, "digest": digests, "distance": distance, "near": near})
-
         def compare(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            out = [found(False, np.empty(0, np.int64), pd.Series(dtype=object), np.empty(0, np.int64), np.empty(0, np.int64))]
-            held = dict(tuple(stored.groupby("key")))
-            for key, mine in asked.groupby("key"):
-                cell, there = key >> _KEY_BITS, held.get(key, stored.iloc[:0])
-                ids = np.frombuffer(b"".join(there["ids"]), np.int64)
+            held, mine = _by_key(stored, "packed", "rings", "ids"), _by_key(asked, "packed")
+            nobody = (b"", b"", b"")
+            hashes, distances, nears, digests, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
+            for key, (packed,) in mine.items():
+                cell, (there, ring, ids) = key >> _KEY_BITS, held.get(key, nobody)
+                ids = np.frombuffer(ids, np.int64)
                 if cell >= n_cells:
-                    q, s = (np.frombuffer(b"".join(x["packed"]), np.uint64).reshape(-1, 4) for x in (mine, there))
-                    q = np.unique(q, axis=0)
+                    q, s = (np.frombuffer(x, np.uint64).reshape(-1, 4) for x in (packed, there))
                     order = np.argsort(s[:, 0], kind="stable")
                     s, ids = s[order], ids[order]
                     lo, hi = np.searchsorted(s[:, 0], q[:, 0], "left"), np.searchsorted(s[:, 0], q[:, 0], "right")
-                    rows = [(q[i].astype(">u8").tobytes(), ids[lo[i] : hi[i]][same].min()) for i in np.flatnonzero(hi > lo) if (same := (s[lo[i] : hi[i]] == q[i]).all(axis=1)).any()]
-                    if rows:
-                        out.append(found(True, 0, pd.Series([r[0] for r in rows], dtype=object), 0, np.array([r[1] for r in rows], np.int64)))
+                    for i in np.flatnonzero(hi > lo):
+                        same = (s[lo[i] : hi[i]] == q[i]).all(axis=1)
+                        if same.any():
+                            digests.append(q[i].astype(">u8").tobytes())
+                            owners.append(ids[lo[i] : hi[i]][same].min())
                     continue
-                q = np.unique(np.frombuffer(b"".join(mine["packed"]), np.uint64))
-                rings = np.frombuffer(b"".join(there["rings"]), np.uint8).astype(np.int64)
+                q, rings = np.unique(np.frombuffer(packed, np.uint64)), np.frombuffer(ring, np.uint8)
                 order = np.argsort(rings, kind="stable")
-                at, far, near = nearest_in(q, np.frombuffer(b"".join(there["packed"]), np.uint64)[order], rings[order], ids[order], shared.value[cell], radius)
+                at, far, near = nearest_in(q, np.frombuffer(there, np.uint64)[order], rings[order].astype(np.int64), ids[order], shared.value[cell], radius)
                 if all_:
                     distance, who = np.full(len(q), NONE), np.zeros(len(q), np.int64)
                     distance[at], who[at] = far, near
-                    out.append(found(False, q.view(np.int64), None, distance, who))
+                    hashes.append(q.view(np.int64)), distances.append(distance), nears.append(who)
                 elif len(at):
-                    out.append(found(False, q[at].view(np.int64), None, far, near))
-            return pd.concat(out)
+                    hashes.append(q[at].view(np.int64)), distances.append(far), nears.append(near)
+            hashes, n = np.concatenate(hashes), len(digests)
+            return pd.DataFrame({
+                "of_file": np.arange(len(hashes) + n) >= len(hashes), "hash": np.concatenate([hashes, np.zeros(n, np.int64)]), "digest": pd.Series([None] * len(hashes) + digests, dtype=object),
+                "distance": np.concatenate([*distances, np.zeros(n, np.int64)]), "near": np.concatenate([*nears, np.array(owners, np.int64)]),
+            })
 
         return compare
 
@@ -321,7 +333,7 @@ class CellIndex:
                 known = rows[rows["digest"].notna()]
                 if len(known):
                     w, ids = _digests(known["digest"]), known["id"].to_numpy(np.int64)
-                    key, _ = keys(n_cells + (w[:, 0] % np.uint64(n_cells)).astype(np.int64), w[:, 1], False)
+                    key, _ = keys(n_cells + (w[:, 0] % np.uint64(parts)).astype(np.int64), w[:, 1], False)
                     out += [(k, p, i) for (k, p), (_, i) in zip(_packed(key, w), _packed(key, ids))]
                 yield _with_part(pd.DataFrame(out, columns=["key", "packed", "ids"]), parts)
 
@@ -413,8 +425,11 @@ def _dealer(keys: _Keys, n_cells: int, parts: int):
             for key, packed, ids in zip(batch["key"], batch["packed"], batch["ids"]):
                 cell = int(key) >> _KEY_BITS
                 v = np.frombuffer(packed, np.uint64)
-                v = v.reshape(-1, 4) if cell >= n_cells else v
-                new, _ = keys(np.full(len(v), cell), v[:, 1] if v.ndim > 1 else v, False)
+                if cell >= n_cells:  # digests are dealt to as many cells as there are parts
+                    v = v.reshape(-1, 4)
+                    new, _ = keys(n_cells + (v[:, 0] % np.uint64(parts)).astype(np.int64), v[:, 1], False)
+                else:
+                    new, _ = keys(np.full(len(v), cell), v, False)
                 out += [(k, p, i) for (k, p), (_, i) in zip(_packed(new, v), _packed(new, np.frombuffer(ids, np.int64)))]
             yield _with_part(pd.DataFrame(out, columns=["key", "packed", "ids"]), parts)
 
@@ -426,9 +441,9 @@ def _merger(shared, name: str):
 
     def merge(part: tuple, packs: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for key, rows in packs.groupby("key"):
+        for key, (ids, v) in sorted(_by_key(packs, "ids", "packed").items()):
             cell = key >> _KEY_BITS
-            ids, v = np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["packed"]), np.uint64)
+            ids, v = np.frombuffer(ids, np.int64), np.frombuffer(v, np.uint64)
             digests = cell >= len(shared.value)
             v = v.reshape(-1, 4) if digests else v
             order = np.argsort(ids, kind="stable")

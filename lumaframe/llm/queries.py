@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from lumaframe.llm.batches import nearest_accepted, repeated_images
 from lumaframe.llm.linked_sets import linked_images
 from lumaframe.llm.mixing import mix
-from lumaframe.llm.packing import fill_report, pack
+from lumaframe.llm.packing import fill_report, neighbour_report, pack
 from lumaframe.llm.prose import classified, not_prose, statistics
-from lumaframe.llm.survivors import representatives
+from lumaframe.llm.survivors import agreement, representatives
 from lumaframe.llm.trie_join import near_duplicate_images
 from lumaframe.sources.tables import table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: repeated_images(table(spark, d, "fingerprints")),
     "p1_nearest": lambda spark, d: nearest_accepted(table(spark, d, "fingerprints")),
-    "p3_found": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints"), None, "current").select("group_id", "image_id"),
+    "p3_found": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints", "images"), checked_by="current").select("group_id", "image_id"),
     "p3_records": lambda spark, d: representatives(*tables(spark, d, "group_members", "fingerprints", "images")),
+    "p3_agreement": lambda spark, d: agreement(representatives(*tables(spark, d, "group_members", "fingerprints", "images"), checked_by="current")),
     "p4_found": lambda spark, d: linked_images(*tables(spark, d, "group_members", "dup_groups")),
     "p5_found": lambda spark, d: near_duplicate_images(table(spark, d, "fingerprints")),
     "p6_packed": lambda spark, d: pack(*tables(spark, d, "documents", "containers")),
     "p6_filled": lambda spark, d: fill_report(pack(*tables(spark, d, "documents", "containers"))),
+    "p6_neighbours": lambda spark, d: neighbour_report(*tables(spark, d, "documents", "containers")),
     "p7_mixed": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[0],
     "p7_shares": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[1],
     "p8_found": lambda spark, d: not_prose(*tables(spark, d, "documents", "common_words")),
@@ -41,21 +43,21 @@ cur AS (
 
 # step k holds what is accepted in the first k months; the recursive term sees only the step before it
 _TAKEN = """,
-k AS (SELECT min(image_id) AS id, digest, f, min(period) AS period FROM cur WHERE period IS NOT NULL GROUP BY digest, f, CASE WHEN digest IS NULL THEN image_id END),
-m AS (SELECT *, dense_rank() OVER (ORDER BY period) AS at FROM k),
-near AS (
+k AS MATERIALIZED (SELECT min(image_id) AS id, digest, f, min(period) AS period FROM cur WHERE period IS NOT NULL GROUP BY digest, f, CASE WHEN digest IS NULL THEN image_id END),
+m AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY period) AS place FROM k),
+near AS MATERIALIZED (
   SELECT b.id AS b, a.id AS a, CASE WHEN bit_count(xor(a.f, b.f)) <= 3 THEN CAST(bit_count(xor(a.f, b.f)) AS INT) END AS distance, coalesce(a.digest = b.digest, false) AS same_file
-  FROM m a JOIN m b ON a.at < b.at AND (a.digest = b.digest OR bit_count(xor(a.f, b.f)) <= 3)),
+  FROM m a JOIN m b ON a.place < b.place AND (a.digest = b.digest OR bit_count(xor(a.f, b.f)) <= 3)),
 acc AS (
-  SELECT CAST(1 AS BIGINT) AS step, id FROM m WHERE at = 1
+  SELECT CAST(1 AS BIGINT) AS step, id FROM m WHERE place = 1
   UNION ALL
   SELECT step + 1, id FROM (
     SELECT step, id FROM acc
     UNION ALL
-    SELECT s.step, m.id FROM m JOIN (SELECT max(step) AS step FROM acc) s ON m.at = s.step + 1
+    SELECT s.step, m.id FROM m JOIN (SELECT max(step) AS step FROM acc) s ON m.place = s.step + 1
     WHERE m.id NOT IN (SELECT n.b FROM near n JOIN acc ON acc.id = n.a))
-  WHERE step < (SELECT max(at) FROM m)),
-fin AS (SELECT id FROM acc WHERE step = (SELECT max(at) FROM m)),
+  WHERE step < (SELECT max(place) FROM m)),
+fin AS (SELECT id FROM acc WHERE step = (SELECT max(place) FROM m)),
 rep AS (SELECT id FROM m WHERE id NOT IN (SELECT id FROM fin))
 """
 
