@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions.media import group_tag
 from lumaframe.operators.components import components
+from lumaframe.operators.order import numbered
 from lumaframe.operators.similarity import exact_classes, hash_classes, near_classes
 
 
@@ -24,18 +25,9 @@ def duplicate_groups(fingerprints: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def named_groups(groups: DataFrame, first_number: int = 1) -> DataFrame:
-    """root, n_images, group_id, tag_name: the groups in order of their root, numbered from first_number on.
-
-    Only the number of groups per range of roots is gathered to number them; rows stay where they are.
-    """
+    """root, n_images, group_id, tag_name: the groups in order of their root, numbered from first_number on."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("n_images")).filter("n_images >= 2")
-    ranged = sizes.repartitionByRange("root").sortWithinPartitions("root").withColumn("part", F.spark_partition_id())
-    within = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("root")))
-    totals = within.groupBy("part").agg(F.count("*").alias("n"))
-    before = totals.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = within.join(before.select("part", "offset"), "part")
-    number = (F.col("offset") + F.col("at") + (first_number - 1)).cast("bigint")
-    return numbered.select("root", "n_images", number.alias("group_id"), group_tag(number).alias("tag_name"))
+    return numbered(sizes, "root", "group_id", first_number).select("root", "n_images", "group_id", group_tag(F.col("group_id")).alias("tag_name"))
 
 
 def group_actions(components_: DataFrame, members: DataFrame) -> DataFrame:
@@ -80,6 +72,26 @@ def reopened_groups(groups: DataFrame, actions: DataFrame) -> DataFrame:
     return joined.select(*(F.when(F.col("grown"), 0).otherwise(F.col(c)).alias(c) if c == "resolved" else F.col(c) for c in groups.columns))
 
 
+def reconciled_groups(groups: DataFrame, components_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups after the actions, and what each of them is: (group_id, tag_name, resolved, state), and the members.
+
+    state: kept, extended, merged (others went into it), created, or deleted (it went into another one; its tag is to be
+    destroyed). Groups that grow are open again. Of several rows of a group the least tag counts.
+    """
+    known = groups.groupBy("group_id").agg(F.min("tag_name").alias("tag_name"), F.max(F.coalesce("resolved", F.lit(0))).alias("resolved"))
+    next_id = (groups.agg(F.max("group_id")).first()[0] or 0) + 1
+    actions = group_actions(components_, members)
+    after = updated_members(components_, members, next_id)
+    gone = actions.select(F.explode("merged").alias("group_id")).distinct().withColumn("gone", F.lit(True))
+    grown = actions.filter("action <> 'create'").groupBy("group_id").agg(F.max("action").alias("action"))  # merge counts before extend
+    rows = known.join(gone, "group_id", "left").join(grown, "group_id", "left")
+    state = F.when(F.col("gone"), "deleted").when(F.col("action") == "merge", "merged").when(F.col("action") == "extend", "extended").otherwise("kept")
+    old = rows.select("group_id", "tag_name", F.when(F.col("action").isNotNull(), 0).otherwise(F.col("resolved")).alias("resolved"), state.alias("state"))
+    made = after.filter(F.col("group_id") >= next_id).select("group_id").distinct()
+    new = made.select("group_id", group_tag(F.col("group_id")).alias("tag_name"), F.lit(0).alias("resolved"), F.lit("created").alias("state"))
+    return old.unionByName(new), after
+
+
 def probe_actions(matches: DataFrame, members: DataFrame) -> DataFrame:
     """query_id, action (existing, merge, new), groups, n_matches: what the matches of a new image mean.
 
@@ -92,6 +104,17 @@ def probe_actions(matches: DataFrame, members: DataFrame) -> DataFrame:
     return summed.select("query_id", F.when(n == 0, "new").when(n == 1, "existing").otherwise("merge").alias("action"), "groups", "n_matches")
 
 
+def cleanup_counts(groups: DataFrame, members: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row: orphaned, empty, single: what a cleanup removes, given the images (image_id) whose fingerprints go.
+
+    A fingerprint takes its memberships along, so groups are counted after it.
+    """
+    left = members.join(gone.select("image_id"), "image_id", "left_anti")
+    sizes = size_classes(groups, left)
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("size_class") == c, F.col("n_groups"))), F.lit(0)).cast("bigint").alias(c)
+    return gone.select("image_id").distinct().agg(F.count("*").alias("orphaned")).crossJoin(sizes.agg(of("empty"), of("single")))  # one row each
+
+
 def size_classes(groups: DataFrame, members: DataFrame) -> DataFrame:
     """size_class (empty, single, several), n_groups: groups by their number of distinct members."""
     sizes = groups.select("group_id").join(members.dropna().distinct(), "group_id", "left").groupBy("group_id").agg(F.count("image_id").alias("n"))

@@ -19,15 +19,16 @@ def library_images(images: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.max("r").alias("r")).select("image_id", "r.*")
 
 
-def open_members(groups: DataFrame, members: DataFrame, images: DataFrame, honour_tag_removal: bool = False) -> DataFrame:
+def open_members(groups: DataFrame, members: DataFrame, images: DataFrame, honour_tag_removal: bool = True) -> DataFrame:
     """group_id and the image's columns for the members of unresolved groups that the library has.
 
-    honour_tag_removal leaves out images that no longer carry the tag of their group.
+    An image from which the tag of its group was taken is left out, as its owner wants it kept; honour_tag_removal=False is for
+    a library whose images never carried those tags.
     """
     unresolved = groups.filter(F.coalesce("resolved", F.lit(0)) == 0).select("group_id", "tag_name")
     rows = members.dropna().distinct().join(unresolved, "group_id").join(images, "image_id")
     if honour_tag_removal:
-        rows = rows.filter(F.coalesce(F.exists("tags", lambda t: t["name"] == F.col("tag_name")), F.lit(False)))
+        rows = rows.filter(F.coalesce(F.array_contains(F.transform("tags", lambda t: t["name"]), F.col("tag_name")), F.lit(False)))
     return rows.drop("tag_name")
 
 
@@ -89,6 +90,22 @@ def resolve_preview(rows: DataFrame) -> DataFrame:
     return rows.select("group_id", "keeper_id", "n_images", F.coalesce("performers", F.lit("")).alias("performers"), F.coalesce("tags", F.lit("")).alias("tags"))
 
 
+def updated_images(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """image_id, tag_ids, performer_ids, rating100 of the images that are left once the plan is applied: keepers get the merged
+    lists and rating, others keep their own, the deleted are gone."""
+    own = rows.select("image_id", M.ids_or_none(F.col("tags")).alias("tag_ids"), M.ids_or_none(F.col("performers")).alias("performer_ids"), "rating100")
+    gone = plan.filter("action = 'delete'").select("image_id").distinct()
+    kept = plan.filter("action = 'keep'").groupBy("image_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("group_id"))).alias(f"new_{c}") for c in ("tag_ids", "performer_ids", "rating100")))  # of several groups the last that says something
+    left = own.join(gone, "image_id", "left_anti").join(kept, "image_id", "left")
+    return left.select("image_id", *(F.coalesce(f"new_{c}", c).alias(c) for c in ("tag_ids", "performer_ids", "rating100")))
+
+
+def gallery_members(images: DataFrame, added: DataFrame) -> DataFrame:
+    """gallery_id, image_id: who is in which gallery once the missing ones (keeper_id, gallery_id) are added."""
+    old = images.select(F.explode(M.ids_or_none(F.col("galleries"))).alias("gallery_id"), "image_id")
+    return old.unionByName(added.select("gallery_id", F.col("keeper_id").alias("image_id"))).distinct()
+
+
 def resolve_counts(plan: DataFrame) -> DataFrame:
     """One row: groups, kept, deleted."""
     return plan.agg(F.countDistinct("group_id").alias("groups"), F.count_if(F.col("action") == "keep").alias("kept"), F.count_if(F.col("action") == "delete").alias("deleted"))

@@ -51,15 +51,16 @@ def winners(ocr: DataFrame) -> DataFrame:
 def decisions(items: DataFrame, detected: DataFrame, links: DataFrame, done_tag: str, queue_tag: str | None = None) -> DataFrame:
     """One row per item: status, and the new value of each field, null where it stays as it is.
 
-    items: item_id, path, details, studio, tags, performers. detected: winners(). links: username, performer_id, name of
-    matching performers. The studio is never overridden; details get the marker once; performers only grow; the marker
-    tag is added and the queue tag removed only for items that have a file.
+    items: item_id, n_files, there, details, studio, tags, performers; an item without files is `no_files`, one whose file isn't
+    there `file_missing`. detected: winners(). links: username, performer_id, name of matching performers. The studio is never
+    overridden; details get the marker once; performers only grow; the marker tag is added and the queue tag removed only for
+    items whose file is there.
     """
     linked = links.groupBy("username").agg(F.collect_list(F.struct("performer_id", "name")).alias("matches"))  # ten at most
     rows = items.join(detected, "item_id", "left").join(linked, "username", "left")
     have = M.ids_or_none(F.col("performers"))
     fresh = F.array_sort(F.filter(F.coalesce("matches", F.array().cast("array<struct<performer_id:string,name:string>>")), lambda m: ~F.array_contains(have, m["performer_id"])))
-    there = F.coalesce("path", F.lit("")) != ""
+    there = F.col("there") & (F.col("n_files") > 0)
     tags = F.array_union(M.ids_or_none(F.col("tags")), F.array(F.lit(done_tag)))
     if queue_tag is not None:
         tags = F.array_except(tags, F.array(F.lit(queue_tag)))
@@ -74,7 +75,7 @@ def decisions(items: DataFrame, detected: DataFrame, links: DataFrame, done_tag:
     details = F.coalesce("details", F.lit(""))
     return rows.select(
         "item_id",
-        F.when(~there, "no_files").otherwise(F.coalesce(F.nullif(parts, F.lit("")), F.lit("nothing_detected"))).alias("status"),
+        F.when(F.col("n_files") == 0, "no_files").when(~there, "file_missing").otherwise(F.coalesce(F.nullif(parts, F.lit("")), F.lit("nothing_detected"))).alias("status"),
         F.when(there & (F.coalesce("studio.name", F.lit("")) == ""), F.col("platform")).alias("new_studio"),
         F.when(there & F.col("username").isNotNull() & ~details.contains(T.MARKER), T.details_with(F.col("details"), F.col("username"))).alias("new_details"),
         F.when(there & (F.size("fresh") > 0), F.array_sort(F.concat(have, F.transform("fresh", lambda m: m["performer_id"])))).alias("new_performers"),

@@ -13,6 +13,7 @@ from lumaframe.operators import groups as G
 from lumaframe.operators import resolve as R
 from lumaframe.operators.current import current_fingerprints
 from lumaframe.operators.similarity import exact_classes, hash_classes, matches_of, near_classes
+from lumaframe.session import shared_folder, stage
 from lumaframe.sources import store
 from lumaframe.sources.tables import table, tables
 
@@ -101,8 +102,58 @@ def probe_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _open(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' images don't carry the tags of their groups, so none was taken from them; see tag_removals for those that do."""
     groups, members = tables(spark, d, "dup_groups", "group_members")
-    return R.open_members(groups, members, _images(spark, d))
+    return R.open_members(groups, members, _images(spark, d), honour_tag_removal=False)
+
+
+def tag_removals(spark: SparkSession, d: str) -> DataFrame:
+    """Keepers where every third image lost the tag of its group: it is neither kept nor deleted."""
+    groups, members = tables(spark, d, "dup_groups", "group_members")
+    named = members.dropna().distinct().join(groups.select("group_id", "tag_name"), "group_id").filter(F.col("image_id") % 3 != 0)
+    own = named.groupBy("image_id").agg(F.collect_set(F.struct(F.lit("g").alias("id"), F.col("tag_name").alias("name"))).alias("more"))
+    none = F.array().cast("array<struct<id:string,name:string>>")
+    images = _images(spark, d).join(own, "image_id", "left").withColumn("tags", F.concat(F.coalesce("tags", none), F.coalesce("more", none))).drop("more")
+    return R.keepers(R.open_members(groups, members, images))
+
+
+def completed(spark: SparkSession, d: str) -> DataFrame:
+    """Groups resolved by a run in which some images could not be deleted."""
+    rows = R.resolve_plan(_open(spark, d))
+    return store.completed_groups(rows, rows.filter("action = 'delete'").select("image_id", (F.col("image_id") % 17 != 0).alias("deleted")))
+
+
+def applied(spark: SparkSession, d: str) -> DataFrame:
+    groups, members = tables(spark, d, "dup_groups", "group_members")
+    plan_ = R.resolve_plan(R.open_members(groups, members, _images(spark, d), honour_tag_removal=False))
+    return R.updated_images(_images(spark, d), plan_).select("image_id", _joined("tag_ids"), _joined("performer_ids"), "rating100")
+
+
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    prints, members = tables(spark, d, "fingerprints", "group_members")
+    keys = members.filter(F.col("image_id") % 50 == 0).select("image_id")
+    return store.point_reads(keys, current_fingerprints(prints, "file_size"), members)
+
+
+def tag_ids(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "images").select(F.explode("tags").alias("t")).select("t.id", "t.name")
+    names = own.select(F.upper("name").alias("name")).unionAll(table(spark, d, "dup_groups").select(F.col("tag_name").alias("name")))
+    return store.get_or_create(names, own.dropna().distinct(), 500)
+
+
+def tag_deletes(spark: SparkSession, d: str) -> DataFrame:
+    gone = _images(spark, d).select(F.explode("tags").alias("t")).filter("t.name IN ('vekhask', 'ocr:queue')").select("t.id").dropna()
+    return store.without_tags(_images(spark, d), gone, "image_id").select("image_id", _joined("tag_ids"))
+
+
+def _reconciled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    groups, members = tables(spark, d, "dup_groups", "group_members")
+    return G.reconciled_groups(groups, stage(_duplicates(spark, d), shared_folder(spark), "components"), members)
+
+
+def totals(spark: SparkSession, d: str) -> DataFrame:
+    n = F.count("*")
+    return current_fingerprints(table(spark, d, "fingerprints")).agg(n.alias("n_images"), (n.cast("decimal(19,0)") * (n - 1) / 2).cast("bigint").alias("n_pairs"))
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +245,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_preview": lambda s, d: R.resolve_preview(_open(s, d)),
     "resolve_counts": lambda s, d: R.resolve_counts(R.resolve_plan(_open(s, d))),
     "resolved_flags": resolved,
+    "tag_removals": tag_removals,
+    "completed_groups": completed,
+    "images_after_resolve": applied,
+    "gallery_members": lambda s, d: R.gallery_members(_images(s, d), galleries(s, d)),
+    "fingerprint_lookup": lookups,
+    "tag_ids": tag_ids,
+    "tag_deletes": tag_deletes,
+    "reconciled_groups": lambda s, d: _reconciled(s, d)[0],
+    "reconciled_members": lambda s, d: _reconciled(s, d)[1],
+    "cleanup_counts": lambda s, d: G.cleanup_counts(table(s, d, "dup_groups"), table(s, d, "group_members").dropna().distinct(), _gone(s, d)),
+    "pair_totals": totals,
     "orphan_fingerprints": _gone,
     "cleanup": cleaned,
     "studio_ids": studios,
@@ -202,7 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _IMG = """
 img AS (
   SELECT try_cast(trim(id) AS BIGINT) AS image_id, title, details, rating100, visual_files, studio, tags, performers, galleries FROM images
-  QUALIFY row_number() OVER (PARTITION BY try_cast(trim(id) AS BIGINT) ORDER BY title DESC NULLS LAST) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY try_cast(trim(id) AS BIGINT) ORDER BY title DESC NULLS LAST, details DESC NULLS LAST, rating100 DESC NULLS LAST) = 1)"""
 
 _IDS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda e: e.id), lambda i: i IS NOT NULL))), ',')"
 
@@ -276,7 +338,44 @@ def _tagged(name: str) -> str:
 _BITS = "CAST(sum(CASE WHEN {left} > {right} THEN CASE WHEN k = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << k END ELSE 0 END) AS BIGINT)"
 _AT = "((k // 8) * 9 + k % 8)"
 
+_RECONCILED = f"""WITH RECURSIVE {_CUR}, {_DUP},
+held AS (SELECT DISTINCT group_id, image_id FROM group_members WHERE image_id IS NOT NULL AND group_id IS NOT NULL),
+s AS (SELECT root, min(group_id) AS group_id, count(*) FILTER (WHERE group_id IS NULL) AS n_new, list_sort(list(DISTINCT group_id) FILTER (WHERE group_id IS NOT NULL)) AS touched FROM dup LEFT JOIN held USING (image_id) GROUP BY root),
+a AS (SELECT *, coalesce(len(touched), 0) AS k FROM s WHERE coalesce(len(touched), 0) <> 1 OR n_new > 0),
+mv AS (SELECT group_id AS dst, unnest(touched[2:]) AS src FROM a WHERE k > 1),
+cr AS (SELECT root, (SELECT coalesce(max(group_id), 0) FROM dup_groups) + row_number() OVER (ORDER BY root) AS made FROM a WHERE k = 0)"""
+
 SQL: dict[str, str] = {
+    "reconciled_groups": _RECONCILED + """,
+g AS (SELECT group_id, min(tag_name) AS tag_name, max(coalesce(resolved, 0)) AS resolved FROM dup_groups GROUP BY group_id)
+SELECT group_id, tag_name, CASE WHEN group_id IN (SELECT group_id FROM a WHERE k > 0) THEN 0 ELSE resolved END AS resolved,
+       CASE WHEN group_id IN (SELECT src FROM mv) THEN 'deleted' WHEN group_id IN (SELECT group_id FROM a WHERE k > 1) THEN 'merged' WHEN group_id IN (SELECT group_id FROM a WHERE k = 1) THEN 'extended' ELSE 'kept' END AS state FROM g
+UNION ALL SELECT made, 'dedup:group:' || CASE WHEN made < 10000 THEN lpad(CAST(made AS VARCHAR), 4, '0') ELSE CAST(made AS VARCHAR) END, 0, 'created' FROM cr""",
+    "reconciled_members": _RECONCILED + """
+SELECT coalesce(mv.dst, held.group_id) AS group_id, image_id FROM held LEFT JOIN mv ON mv.src = held.group_id
+UNION SELECT coalesce(cr.made, a.group_id), image_id FROM dup JOIN a USING (root) LEFT JOIN cr USING (root)""",
+    "tag_removals": f"WITH {_OPEN.replace('ON i.image_id = m.image_id)', 'ON i.image_id = m.image_id WHERE i.image_id % 3 <> 0)')} SELECT * FROM kp",
+    "completed_groups": f"WITH {_OPEN} SELECT group_id FROM pl GROUP BY group_id HAVING count(*) FILTER (WHERE action = 'delete' AND image_id % 17 = 0) = 0",
+    "images_after_resolve": f"""WITH {_OPEN},
+k AS (SELECT image_id, max_by(tag_ids, group_id) AS tag_ids, max_by(performer_ids, group_id) AS performer_ids, max_by(rating100, group_id) AS rating100 FROM pl WHERE action = 'keep' GROUP BY image_id)
+SELECT img.image_id, coalesce(k.tag_ids, {_IDS.format(c='tags')}) AS tag_ids, coalesce(k.performer_ids, {_IDS.format(c='performers')}) AS performer_ids, coalesce(k.rating100, img.rating100) AS rating100
+FROM img LEFT JOIN k ON k.image_id = img.image_id WHERE img.image_id NOT IN (SELECT image_id FROM pl WHERE action = 'delete')""",
+    "gallery_members": f"""WITH {_OPEN}, miss AS (SELECT k.keeper_id, gl.id AS gallery_id FROM kp k JOIN gl ON gl.group_id = k.group_id)
+SELECT e.id AS gallery_id, image_id FROM (SELECT image_id, unnest(galleries) AS e FROM img) WHERE e.id IS NOT NULL UNION SELECT gallery_id, keeper_id FROM miss""",
+    "fingerprint_lookup": f"""WITH {_CUR}, w AS (SELECT image_id, min(group_id) AS group_id FROM group_members WHERE image_id % 50 = 0 GROUP BY image_id)
+SELECT w.image_id, c.image_id IS NOT NULL AS known, c.file_size, c.created_at, w.group_id FROM w LEFT JOIN cur c ON c.image_id = w.image_id""",
+    "tag_ids": """WITH t AS (SELECT e.id AS id, e.name AS name FROM (SELECT unnest(tags) AS e FROM images)),
+n AS (SELECT DISTINCT name, lower(name) AS low FROM (SELECT upper(name) AS name FROM t UNION ALL SELECT tag_name FROM dup_groups) WHERE name IS NOT NULL),
+k AS (SELECT lower(name) AS low, min(id) AS id FROM t WHERE name IS NOT NULL AND id IS NOT NULL GROUP BY 1),
+f AS (SELECT low, CAST(row_number() OVER (ORDER BY low) + 499 AS VARCHAR) AS new_id FROM (SELECT DISTINCT low FROM n WHERE low NOT IN (SELECT low FROM k)))
+SELECT n.name, coalesce(k.id, f.new_id) AS id, k.id IS NULL AS made FROM n LEFT JOIN k ON k.low = n.low LEFT JOIN f ON f.low = n.low""",
+    "tag_deletes": f"""WITH {_IMG}, p AS (SELECT DISTINCT image_id, e.id AS id, e.name AS name FROM (SELECT image_id, unnest(tags) AS e FROM img) WHERE e.id IS NOT NULL),
+g AS (SELECT DISTINCT id FROM p WHERE name IN ('vekhask', 'ocr:queue'))
+SELECT image_id, coalesce(string_agg(DISTINCT id, ',' ORDER BY id) FILTER (WHERE id NOT IN (SELECT id FROM g)), '') AS tag_ids FROM p GROUP BY image_id HAVING count(*) FILTER (WHERE id IN (SELECT id FROM g)) > 0""",
+    "cleanup_counts": f"""WITH {_IMG}, gone AS (SELECT DISTINCT image_id FROM fingerprints WHERE image_id IS NOT NULL AND image_id NOT IN (SELECT image_id FROM img)),
+z AS (SELECT g.group_id, count(DISTINCT m.image_id) AS n FROM dup_groups g LEFT JOIN (SELECT * FROM group_members WHERE image_id NOT IN (SELECT image_id FROM gone)) m ON m.group_id = g.group_id GROUP BY g.group_id)
+SELECT (SELECT count(*) FROM gone) AS orphaned, count(*) FILTER (WHERE n = 0) AS empty, count(*) FILTER (WHERE n = 1) AS single FROM z""",
+    "pair_totals": "SELECT count(*) AS n_images, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_pairs FROM (SELECT DISTINCT image_id FROM fingerprints WHERE image_id IS NOT NULL)",
     "unprocessed_images": f"WITH {_IMG} SELECT image_id FROM img WHERE NOT {_tagged('auto:dedup')}",
     "images_by_tag": f"WITH {_IMG} SELECT image_id, title FROM img WHERE {_tagged('ocr:queue')}",
     "image_lookup": f"WITH {_IMG} SELECT e.image_id, i.title, i.image_id IS NOT NULL AS found FROM (SELECT DISTINCT try_cast(trim(id) AS BIGINT) AS image_id FROM hook_events WHERE hook_type = 'Image.Create.Post') e LEFT JOIN img i ON i.image_id = e.image_id WHERE e.image_id IS NOT NULL",

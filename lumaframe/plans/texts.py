@@ -14,7 +14,7 @@ from lumaframe.functions import media as M
 from lumaframe.functions import text as T
 from lumaframe.operators.link import performers_by_url
 from lumaframe.operators.resolve import library_images
-from lumaframe.operators.votes import decisions, platform_votes, status_counts, username_votes, winners
+from lumaframe.operators.votes import platform_votes, username_votes, winners
 from lumaframe.sources.tables import table
 
 
@@ -69,20 +69,14 @@ def times(spark: SparkSession, d: str) -> DataFrame:
     return more.select("duration", F.posexplode(M.sample_times(F.col("duration"))).alias("frame_no", "at"))
 
 
-def _performers(spark: SparkSession, d: str) -> DataFrame:
+def performers(spark: SparkSession, d: str) -> DataFrame:
     rows = _handles(spark, d).select((F.col("image_id") % 300).cast("string").alias("id"), F.concat(F.lit("https://media.example.com/@"), F.upper("h")).alias("url"))
     return rows.groupBy("id").agg(F.collect_set("url").alias("urls")).select("id", F.concat(F.lit("performer "), F.col("id")).alias("name"), "urls")
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
     names = winners(ocr(spark, d)).select("username").filter("username IS NOT NULL")
-    return performers_by_url(names, _performers(spark, d)).select("username", "performer_id", "name")
-
-
-def decided(spark: SparkSession, d: str) -> DataFrame:
-    items = library_images(table(spark, d, "images")).select(F.col("image_id").cast("string").alias("item_id"), M.first_path(F.col("visual_files")).alias("path"), "details", "studio", "tags", "performers")
-    rows = decisions(items, winners(ocr(spark, d)), links(spark, d), "2", "3")
-    return rows.select("item_id", "status", "new_studio", "new_details", F.array_join("new_performers", ",").alias("new_performers"), F.array_join("new_tags", ",").alias("new_tags"))
+    return performers_by_url(names, performers(spark, d)).select("username", "performer_id", "name")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,8 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vote_winners": lambda s, d: winners(ocr(s, d)),
     "sample_times": times,
     "performer_links": links,
-    "item_decisions": decided,
-    "status_counts": lambda s, d: status_counts(decided(s, d)),
 }
 
 _SP = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -122,11 +114,13 @@ def _noise(w: str) -> str:
 
 _HANDLE = "@" + _SP + r"{0,2}([\p{L}\p{N}_.]{4,30})"
 
-_OCR = f"""
+IMG = """
 img AS (
   SELECT try_cast(trim(id) AS BIGINT) AS image_id, title, details, visual_files, studio, tags, performers FROM images
-  QUALIFY row_number() OVER (PARTITION BY try_cast(trim(id) AS BIGINT) ORDER BY title DESC NULLS LAST) = 1),
-hd AS (SELECT *, CAST(image_id AS VARCHAR) AS n, lower(regexp_replace(coalesce(title, 'user ' || image_id), '[^A-Za-z0-9]+', '_', 'g')) AS h FROM img),
+  QUALIFY row_number() OVER (PARTITION BY try_cast(trim(id) AS BIGINT) ORDER BY title DESC NULLS LAST, details DESC NULLS LAST, rating100 DESC NULLS LAST) = 1),
+hd AS (SELECT *, CAST(image_id AS VARCHAR) AS n, lower(regexp_replace(coalesce(title, 'user ' || image_id), '[^A-Za-z0-9]+', '_', 'g')) AS h FROM img)"""
+
+IMAGE_TEXTS = """
 o0 AS (
   SELECT n AS item_id, h, CASE image_id % 8
     WHEN 0 THEN 'ob TikTok' || chr(10) || '@' || h || chr(10)
@@ -136,10 +130,12 @@ o0 AS (
     WHEN 4 THEN 'entrou seguidores seguindo curtir' || chr(10) || h
     WHEN 5 THEN ' ' || chr(10)
     WHEN 6 THEN 'Tik  Tok' || chr(10) || chr(10) || '@' || h || '. 12:00' || chr(10) || '0:12 88%'
-    ELSE coalesce(details, '') || chr(10) || coalesce(title, '') END AS text FROM hd),
+    ELSE coalesce(details, '') || chr(10) || coalesce(title, '') END AS text FROM hd)"""
+
+_OCR = IMG + "," + IMAGE_TEXTS + """,
 ocr AS (SELECT item_id, 0 AS variant_no, text FROM o0 UNION ALL SELECT item_id, 1, h || chr(10) || text FROM o0)"""
 
-_SCORES = f"""
+SCORES = f"""
 sc AS (
   SELECT item_id, variant_no,
          CAST(CASE WHEN regexp_matches(text, '(?i)tik{_SP}*tok') THEN 10 ELSE 0 END + 5 * len(list_filter(string_split(text, chr(10)), lambda l:
@@ -147,7 +143,7 @@ sc AS (
          CAST({' + '.join([f"CASE WHEN contains(lower(text), '{b}') THEN 10 ELSE 0 END" for b in T.LIVE_BADGES] + [f"CASE WHEN contains(lower(text), '{w}') THEN 3 ELSE 0 END" for w in T.WEAK_SIGNS])} AS BIGINT) AS score_b
   FROM src)"""
 
-_CANDIDATES = f"""
+CANDIDATES = f"""
 ln AS (SELECT item_id, variant_no, text, string_split(text, chr(10)) AS lines FROM ocr),
 win AS (
   SELECT item_id, variant_no, 'w' AS kind, unnest(list_transform(list_filter(range(len(lines)), lambda i: {' OR '.join(f"contains(lower(lines[i + 1]), '{b}')" for b in T.LIVE_BADGES)}),
@@ -172,7 +168,7 @@ cand AS (
     FROM al WHERE username <> '' AND NOT {_noise('username')})
   WHERE score > 0)"""
 
-_VOTES = f"""
+VOTES = f"""
 ht AS (SELECT DISTINCT item_id, variant_no, username FROM cand WHERE kind = 'w'),
 vt AS (
   SELECT item_id, username, CAST(sum(score) AS BIGINT) AS score, min(variant_no * 1000000000 + rule * 100000000 + i * 10000 + j) AS first
@@ -184,38 +180,20 @@ wu AS (SELECT item_id, username FROM vt QUALIFY row_number() OVER (PARTITION BY
 wp AS (SELECT item_id, platform FROM (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) = 1) WHERE score >= 10),
 wn AS (SELECT coalesce(wp.item_id, wu.item_id) AS item_id, platform, username FROM wp FULL JOIN wu ON wp.item_id = wu.item_id)"""
 
-_LINKS = """
+LINKS = """
 pf AS (SELECT CAST(image_id % 300 AS VARCHAR) AS id, 'performer ' || (image_id % 300) AS name, lower('https://media.example.com/@' || upper(h)) AS url FROM hd),
 lk AS (
   SELECT username, performer_id, name FROM (
     SELECT username, p.id AS performer_id, min(p.name) AS name FROM (SELECT DISTINCT username FROM wn WHERE username IS NOT NULL) u JOIN pf p ON contains(p.url, lower(u.username)) GROUP BY username, p.id)
   QUALIFY row_number() OVER (PARTITION BY username ORDER BY performer_id) <= 10)"""
 
-_DECIDED = """
-it AS (
-  SELECT n AS item_id, list_filter(coalesce(visual_files, []), lambda f: coalesce(f.path, '') <> '')[1].path AS path, details, studio.name AS studio_name,
-         list_distinct(list_filter(list_transform(coalesce(tags, []), lambda e: e.id), lambda i: i IS NOT NULL)) AS tag_ids,
-         list_distinct(list_filter(list_transform(coalesce(performers, []), lambda e: e.id), lambda i: i IS NOT NULL)) AS have FROM hd),
-fr AS (
-  SELECT it.item_id, list(lk.performer_id ORDER BY lk.performer_id) AS ids, string_agg(lk.name, ',' ORDER BY lk.performer_id) AS names
-  FROM it JOIN wn ON wn.item_id = it.item_id JOIN lk ON lk.username = wn.username WHERE NOT list_contains(it.have, lk.performer_id) GROUP BY it.item_id),
-dc AS (
-  SELECT it.item_id,
-         CASE WHEN coalesce(path, '') = '' THEN 'no_files' ELSE coalesce(nullif(concat_ws(', ', 'platform=' || platform, 'username=@' || username, 'performers=' || fr.names), ''), 'nothing_detected') END AS status,
-         CASE WHEN coalesce(path, '') <> '' AND coalesce(studio_name, '') = '' THEN platform END AS new_studio,
-         CASE WHEN coalesce(path, '') <> '' AND username IS NOT NULL AND NOT contains(coalesce(details, ''), 'Extracted Username:')
-              THEN 'Extracted Username: @' || username || CASE WHEN coalesce(details, '') = '' THEN '' ELSE chr(10) || chr(10) || details END END AS new_details,
-         CASE WHEN coalesce(path, '') <> '' AND fr.ids IS NOT NULL THEN array_to_string(list_sort(list_concat(have, fr.ids)), ',') END AS new_performers,
-         CASE WHEN coalesce(path, '') <> '' THEN array_to_string(list_sort(list_filter(list_distinct(list_append(tag_ids, '2')), lambda i: i <> '3')), ',') END AS new_tags
-  FROM it LEFT JOIN wn ON wn.item_id = it.item_id LEFT JOIN fr ON fr.item_id = it.item_id)"""
-
-_WON = f"WITH {_OCR}, src AS (SELECT * FROM ocr), {_SCORES}, {_CANDIDATES}, {_VOTES}"
+_WON = f"WITH {_OCR}, src AS (SELECT * FROM ocr), {SCORES}, {CANDIDATES}, {VOTES}"
 
 SQL: dict[str, str] = {
-    "platform_signals": f"WITH {_OCR}, src AS (SELECT * FROM ocr UNION ALL SELECT 'd' || doc_id, 0, text FROM documents WHERE text IS NOT NULL), {_SCORES} SELECT * FROM sc",
+    "platform_signals": f"WITH {_OCR}, src AS (SELECT * FROM ocr UNION ALL SELECT 'd' || doc_id, 0, text FROM documents WHERE text IS NOT NULL), {SCORES} SELECT * FROM sc",
     "noise_words": f"SELECT word, {_noise('word')} AS noise, {_norm('word')} AS normalized FROM (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(text, '{_SP}+')) AS word FROM documents) WHERE word <> '')",
-    "username_candidates": f"WITH {_OCR}, {_CANDIDATES} SELECT item_id, variant_no, username, CAST(sum(score) AS BIGINT) AS score, count(*) AS n FROM cand WHERE kind = 't' GROUP BY item_id, variant_no, username",
-    "host_names": f"WITH {_OCR}, {_CANDIDATES} SELECT DISTINCT item_id, variant_no, username FROM cand WHERE kind = 'w'",
+    "username_candidates": f"WITH {_OCR}, {CANDIDATES} SELECT item_id, variant_no, username, CAST(sum(score) AS BIGINT) AS score, count(*) AS n FROM cand WHERE kind = 't' GROUP BY item_id, variant_no, username",
+    "host_names": f"WITH {_OCR}, {CANDIDATES} SELECT DISTINCT item_id, variant_no, username FROM cand WHERE kind = 'w'",
     "username_votes": f"{_WON} SELECT item_id, username, score FROM vt",
     "platform_votes": f"{_WON} SELECT item_id, platform, score FROM pv",
     "vote_winners": f"{_WON} SELECT item_id, platform, username FROM wn",
@@ -223,9 +201,5 @@ SQL: dict[str, str] = {
 b AS (SELECT duration, least(5, greatest(3, CAST(floor(duration / 2) AS INT))) AS n FROM a)
 SELECT duration, CAST(i - 1 AS INT) AS frame_no, CASE WHEN duration <= 0 THEN 0.5 WHEN duration < 3 THEN duration / 2 ELSE round(duration / (n + 1) * i, 2) END AS at
 FROM (SELECT duration, n, unnest(range(1, CASE WHEN duration < 3 THEN 2 ELSE n + 1 END)) AS i FROM b)""",
-    "performer_links": f"{_WON}, {_LINKS} SELECT * FROM lk",
-    "item_decisions": f"{_WON}, {_LINKS}, {_DECIDED} SELECT * FROM dc",
-    "status_counts": f"""{_WON}, {_LINKS}, {_DECIDED}
-SELECT count(*) FILTER (WHERE NOT (contains(status, 'nothing_detected') OR contains(status, 'no_files'))) AS detected,
-       count(*) FILTER (WHERE contains(status, 'nothing_detected') OR contains(status, 'no_files')) AS not_detected, CAST(0 AS BIGINT) AS errors, count(*) AS total FROM dc""",
+    "performer_links": f"{_WON}, {LINKS} SELECT * FROM lk",
 }

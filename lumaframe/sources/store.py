@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe import schemas
+from lumaframe.operators.order import numbered
 
 TABLES = {"fingerprints": schemas.FINGERPRINT, "dup_groups": schemas.DUP_GROUP, "group_members": schemas.GROUP_MEMBER}
 
@@ -40,6 +41,35 @@ def mark_resolved(groups: DataFrame, done: DataFrame) -> DataFrame:
     return groups.join(flag, "group_id", "left").withColumn("resolved", F.when(F.col("done"), 1).otherwise(F.col("resolved"))).drop("done")
 
 
+def completed_groups(plan: DataFrame, deletions: DataFrame) -> DataFrame:
+    """group_id of the groups of a plan (group_id, image_id, action) all of whose deletions (image_id, deleted) succeeded.
+
+    An image to be deleted that `deletions` lacks hasn't been deleted.
+    """
+    done = deletions.groupBy("image_id").agg(F.bool_and(F.coalesce("deleted", F.lit(False))).alias("deleted"))
+    rows = plan.select("group_id", "image_id", "action").join(done, "image_id", "left")
+    good = rows.groupBy("group_id").agg(F.bool_and((F.col("action") != "delete") | F.coalesce("deleted", F.lit(False))).alias("good"))
+    return good.filter("good").select("group_id")
+
+
+def point_reads(keys: DataFrame, fingerprints: DataFrame, members: DataFrame) -> DataFrame:
+    """image_id, known, file_size, created_at, group_id for each key (image_id): its current fingerprint, if it has one, and the
+    least group that it is a member of, if any."""
+    wanted = keys.select("image_id").distinct()
+    held = fingerprints.select("image_id", "file_size", "created_at").withColumn("known", F.lit(True))
+    group = members.dropna(subset=["group_id", "image_id"]).groupBy("image_id").agg(F.min("group_id").alias("group_id"))
+    rows = wanted.join(held, "image_id", "left").join(group, "image_id", "left")
+    return rows.select("image_id", F.coalesce("known", F.lit(False)).alias("known"), "file_size", "created_at", "group_id")
+
+
+def without_tags(items: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """key, tag_ids of the items that carry a tag in `gone` (id): what is left after these tags are deleted."""
+    pairs = items.select(key, F.explode("tags").alias("t")).select(key, F.col("t.id").alias("id")).filter("id IS NOT NULL").distinct()
+    hit = pairs.join(gone.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left")
+    left = hit.groupBy(key).agg(F.max(F.coalesce("gone", F.lit(False))).alias("hit"), F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.col("id")))).alias("tag_ids"))
+    return left.filter("hit").select(key, "tag_ids")
+
+
 def patch(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Columns of `changes` replace those of the table where they aren't null."""
     fields = [c for c in changes.columns if c != key]
@@ -56,8 +86,7 @@ def get_or_create(names: DataFrame, known: DataFrame, next_id: int) -> DataFrame
     low = names.select("name").dropna().distinct().withColumn("low", F.lower("name"))
     have = known.select(F.lower("name").alias("low"), "id").groupBy("low").agg(F.min("id").alias("id"))
     joined = low.join(have, "low", "left")
-    fresh = joined.filter("id IS NULL").select("low").distinct()
-    fresh = fresh.withColumn("new_id", (F.row_number().over(Window.orderBy("low")) + (next_id - 1)).cast("string"))
+    fresh = numbered(joined.filter("id IS NULL").select("low").distinct(), "low", "new_id", next_id).withColumn("new_id", F.col("new_id").cast("string"))
     return joined.join(fresh, "low", "left").select("name", F.coalesce("id", "new_id").alias("id"), F.col("id").isNull().alias("made"))
 
 

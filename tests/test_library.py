@@ -128,7 +128,7 @@ def test_resolve(spark):
     grp = groups(spark, [(1, "dedup:group:0001", at(1)), (2, "dedup:group:0002", at(1)), (3, "dedup:group:0003", at(1))])
     mem = members(spark, [(1, 1), (1, 2), (1, 3), (1, 3), (2, 4), (2, 5), (3, 5), (3, 404)])
     lib = R.library_images(_library(spark))
-    rows = R.open_members(grp, mem, lib)
+    rows = R.open_members(grp, mem, lib, honour_tag_removal=False)
     assert rows_of(R.keepers(rows), "group_id", "keeper_id") == [(1, 3), (2, 5)]  # group 3 has one image left
     m = {r.group_id: r for r in R.merged_metadata(rows).collect()}
     assert m[1].performer_ids == ["31", "4", "5"] and m[1].tag_ids == ["1", "7", "8"] and m[1].gallery_ids == ["1", "2"] and m[1].rating100 == 100
@@ -145,7 +145,7 @@ def test_resolve(spark):
 def test_ties_of_keepers(spark):
     file = lambda s: [("p", 10, 10, s)]
     lib = R.library_images(images(spark, [("1", {"visual_files": file(5)}), ("2", {"visual_files": file(6)}), ("3", {"visual_files": file(6)})]))
-    rows = R.open_members(groups(spark, [(1, "t", at(1))]), members(spark, [(1, 1), (1, 2), (1, 3)]), lib)
+    rows = R.open_members(groups(spark, [(1, "t", at(1))]), members(spark, [(1, 1), (1, 2), (1, 3)]), lib, honour_tag_removal=False)
     assert rows_of(R.keepers(rows), "keeper_id") == [(2,)]
 
 
@@ -186,5 +186,5 @@ def test_growing_reopens_a_resolved_group(spark):
     now = G.reopened_groups(known, G.group_actions(comps, held))
     assert now.columns == known.columns and rows_of(now, "group_id", "resolved") == [(1, 0), (2, 0), (3, 0), (4, 1)]
     library = images(spark, [(str(i), {}) for i, _ in found]).withColumnRenamed("id", "image").selectExpr("cast(image as bigint) AS image_id", "tags")
-    waiting = rows_of(open_members(now, G.updated_members(comps, held, 5), library), "group_id", "image_id")
+    waiting = rows_of(open_members(now, G.updated_members(comps, held, 5), library, honour_tag_removal=False), "group_id", "image_id")
     assert waiting == [(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (2, 30), (2, 31)]

@@ -28,16 +28,17 @@ def test_threshold(spark):
     assert V.winner(votes, "username", 10).count() == 0 and V.winner(votes, "username", 0).first().username == "u"
 
 
-ITEM = "item_id string, path string, details string, studio struct<id:string,name:string>, tags array<struct<id:string,name:string>>, performers array<struct<id:string,name:string>>"
+ITEM = "item_id string, n_files int, there boolean, details string, studio struct<id:string,name:string>, tags array<struct<id:string,name:string>>, performers array<struct<id:string,name:string>>"
 
 
 def test_decisions(spark):
     items = spark.createDataFrame(
         [
-            ("1", "a", None, None, [("9", "t"), ("3", "ocr:queue")], None),
-            ("2", "a", "Extracted Username: @x", ("1", "Other"), None, [("p1", "P")]),
-            ("3", None, None, None, None, None),
-            ("4", "a", "", None, None, None),
+            ("1", 1, True, None, None, [("9", "t"), ("3", "ocr:queue")], None),
+            ("2", 1, True, "Extracted Username: @x", ("1", "Other"), None, [("p1", "P")]),
+            ("3", 0, False, None, None, None, None),
+            ("4", 1, True, "", None, None, None),
+            ("5", 1, False, "", None, [("3", "ocr:queue")], None),
         ],
         ITEM,
     )
@@ -49,7 +50,8 @@ def test_decisions(spark):
     assert got["2"].new_studio is None and got["2"].new_details is None and got["2"].new_performers is None
     assert got["3"].status == "no_files" and got["3"].new_tags is None
     assert got["4"].status == "nothing_detected"
-    assert V.status_counts(V.decisions(items, won, links, "2")).first().asDict() == {"detected": 2, "not_detected": 2, "errors": 0, "total": 4}
+    assert got["5"].status == "file_missing" and got["5"].new_tags is None  # it stays queued
+    assert V.status_counts(V.decisions(items, won, links, "2")).first().asDict() == {"detected": 2, "not_detected": 2, "errors": 1, "total": 5}
 
 
 def test_links(spark):
