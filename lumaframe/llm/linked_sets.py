@@ -12,12 +12,17 @@ hub receives is combined before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumaframe.session import drop_stage, free_shuffles, shared_folder, stage
 
-RATE = 0.35  #: of the exponential distribution: a larger one makes smaller clusters in fewer rounds
+RATE = 0.7  #: of the exponential distribution: a larger one makes smaller clusters in fewer rounds
+FEW_EDGES = 1 << 17  #: a level of no more edges (both directions; 2 MB) and those after it are decomposed in one task, by the same method
 
 
 def _delay(vertex: Column, level: int, seed: int) -> Column:
@@ -53,6 +58,41 @@ def _clusters(edges: DataFrame, level: int, seed: int, folder: str) -> DataFrame
     return state.select("v", "center")
 
 
+def _decompose(src: np.ndarray, dst: np.ndarray, level: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(v, center) with the clusters of all further levels contracted: one center per component. Edges in both directions."""
+    vertices, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    src, dst = ends[: len(src)], ends[len(src) :]
+    final, random = np.arange(len(vertices)), np.random.default_rng([seed, level])
+    while len(src):
+        at, center = -random.exponential(1 / RATE, len(vertices)), np.arange(len(vertices))
+        moved = np.ones(len(vertices), bool)
+        while moved.any():
+            e = np.flatnonzero(moved[src])
+            to, when, who = dst[e], at[src[e]] + 1, center[src[e]]
+            order = np.lexsort((who, when, to))
+            to, when, who = to[order], when[order], who[order]
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else to
+            to, when, who = to[first], when[first], who[first]
+            better = (when < at[to]) | ((when == at[to]) & (who < center[to]))
+            moved = np.zeros(len(vertices), bool)
+            moved[to[better]] = True
+            at[to[better]], center[to[better]] = when[better], who[better]
+        final = center[final]
+        src, dst = center[src], center[dst]
+        between = np.unique(np.stack([src, dst], axis=1)[src != dst], axis=0)
+        src, dst = between[:, 0], between[:, 1]
+    return vertices, vertices[final]
+
+
+def _finished(edges: DataFrame, level: int, seed: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b[["src", "dst"]] for b in batches] or [pd.DataFrame({"src": [], "dst": []}, dtype="int64")])
+        v, center = _decompose(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64), level, seed)
+        yield pd.DataFrame({"v": v, "center": center})
+
+    return edges.coalesce(1).mapInPandas(run, "v bigint, center bigint")
+
+
 def connected(links: DataFrame, seed: int = 7) -> DataFrame:
     """(v, root) for each vertex that has a link (a, b) to another one; root is the least vertex of its component."""
     spark = links.sparkSession
@@ -61,12 +101,15 @@ def connected(links: DataFrame, seed: int = 7) -> DataFrame:
     edges = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().toDF("src", "dst"), folder, "e0")
     levels: list[tuple[DataFrame, DataFrame]] = []
     label = None
-    while not edges.isEmpty():
+    while n := edges.count():
         k = len(levels)
-        assigned = _clusters(edges, k, seed, folder)
+        few = n <= FEW_EDGES
+        assigned = stage(_finished(edges, k, seed), folder, f"a{k}") if few else _clusters(edges, k, seed, folder)
         known = assigned.withColumn("label", F.col("v")) if label is None else assigned.join(label.select(F.col("center").alias("v"), "label"), "v")
         label = stage(known.groupBy("center").agg(F.min("label").alias("label")), folder, f"l{k}")
         levels.append((assigned, label))
+        if few:
+            break
         from_, to = assigned.select(F.col("v").alias("src"), F.col("center").alias("cs")), assigned.select(F.col("v").alias("dst"), F.col("center").alias("ct"))
         between = edges.join(from_, "src").join(to, "dst").filter(F.col("cs") != F.col("ct")).select(F.col("cs").alias("src"), F.col("ct").alias("dst")).distinct()
         edges = stage(between, folder, f"e{k + 1}")

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from helpers import at, crowded, groups, members, rows_of
 
+from lumaframe.llm import linked_sets
 from lumaframe.llm.linked_sets import connected, linked_images
 
 
@@ -20,7 +22,10 @@ def union_find(pairs):
     return {x: root(x) for x in parent}
 
 
-def test_chain_star_and_random(spark):
+@pytest.mark.parametrize("few", [0, 60, linked_sets.FEW_EDGES])
+def test_chain_star_and_random(spark, monkeypatch, few):
+    """On the cluster to the end, from some level on in one task, and in one task from the start."""
+    monkeypatch.setattr(linked_sets, "FEW_EDGES", few)
     r = random.Random(2)
     pairs = [(i, i + 1) for i in range(1000, 1060)] + [(7, i) for i in range(2000, 2060)] + [(r.randrange(3000, 3060), r.randrange(3000, 3060)) for _ in range(40)]
     want = {x: c for x, c in union_find([p for p in pairs if p[0] != p[1]]).items()}
