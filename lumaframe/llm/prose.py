@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.examples import examples
-from lumaframe.session import shared_folder, stage
+from lumaframe.session import drop_stage, shared_folder, stage
 
 KINDS = ("prose", "list", "table", "junk")
-ROUNDS = 12
+ROUNDS, SETTLED = 40, 1e-3  #: the fit ends when no mean (in standard deviations) and no weight moves by more, at the latest after ROUNDS
 TRIGRAMS = 1 << 16  #: bins of the hashed counts of letter trigrams
 WINDOW = 40  #: words among which repetition is measured, one window after the other, the last one ending with the text
 MOST_COMMON = 10_000  #: common words
@@ -36,7 +36,9 @@ _CUT = re.compile(r"[\n\r\t,;|/:#•*·│、，；：]+|<[^<>]*>|\s{3,}|[.!?。
 _STOP = re.compile(r"[.!?。！？…](?=[\s\"'”»)]|$|[぀-ヿ一-鿿])")
 _MARK = re.compile(r"<[^<>]*>|&\w+;|\{\{\w*\}\}")
 _SPELLED = re.compile(r"&#\w+;|&(?:quot|apos);")  #: characters of prose that came through a web page
-_PLAIN = set(" \n\r\t.,!?'’\"-():¡¿。、！？「」…")
+_SYMBOL = re.compile(r"[^\w \n\r\t.,!?'’\"\-():¡¿。、！？「」…]|_")  #: neither letter, digit nor plain punctuation
+_DIGIT = re.compile(r"[\d²³¹⁰⁴-⁹₀-₉①-⑨]")
+_ALNUM = re.compile(r"[^\W_]")
 _WRAP = re.compile(r"(?<=[^\n.!?:。！？|]{24})\n(?=\w)")
 
 
@@ -82,19 +84,18 @@ def _trigrams(words: list[str]) -> np.ndarray:
     return np.unique(h % np.uint64(TRIGRAMS)).astype(np.int64)
 
 
-def trigram_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each bin of trigrams occurs, and the number of texts; 65,536 sums reach the driver."""
+def trigram_counts(measured: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each bin of trigrams (column bins, packed) occurs, and the number of texts; 65,536 sums reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(TRIGRAMS, np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                total[_trigrams(_WORD.findall(text))] += 1
-                n += 1
+            total += np.bincount(np.frombuffer(b"".join(batch["bins"]), np.uint16), minlength=TRIGRAMS)
+            n += len(batch)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bin": [*at, -1], "n": [*total[at], n]})
 
-    sums = documents.filter(F.col("text").isNotNull()).select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect()
+    sums = measured.select("bins").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect()
     counts, n = np.zeros(TRIGRAMS, np.int64), 0
     for at, c in sums:
         if at < 0:
@@ -104,15 +105,27 @@ def trigram_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
     return counts, n
 
 
+def familiarity(bins: Iterable[bytes], familiar: np.ndarray) -> np.ndarray:
+    """The mean of `familiar` over the bins of each text; -8 without any."""
+    size = np.array([len(b) // 2 for b in bins], dtype=np.int64)
+    values = np.append(familiar[np.frombuffer(b"".join(bins), np.uint16)], 0.0)
+    first = np.minimum(np.cumsum(size) - size, len(values) - 1)
+    sums = np.add.reduceat(values, first) if len(size) else np.empty(0)
+    return np.where(size > 0, sums / np.maximum(size, 1), -8.0)
+
+
 FEATURES = ("common", "symbols", "digits", "cuts", "entry", "variety", "familiar", "stop_lines", "word_length", "words", "stops", "top_word")
 
 
-def features(text: str, common: frozenset[str], familiar: np.ndarray) -> tuple[list[float], int]:
-    """The statistics of one whole text, and its number of entries. familiar: log share of texts by bin of trigrams."""
+FAMILIAR = FEATURES.index("familiar")
+
+
+def features(text: str, common: frozenset[str]) -> tuple[list[float], int, bytes]:
+    """The statistics of one whole text, its number of entries, and its bins of trigrams, from which `familiar` follows once all texts are counted."""
     text = _SPELLED.sub(lambda m: unescape(m[0]), text)
     n_chars = max(1, len(text.strip()))
     bare = _MARK.sub(" ", text)
-    joined = _WRAP.sub(" ", text)
+    joined = _WRAP.sub(" ", text) if "\n" in text else text
     words = _WORD.findall(bare)
     n = len(words)
     japanese = sum(1 for w in words if "々" <= w[0] <= "鿿")
@@ -123,9 +136,9 @@ def features(text: str, common: frozenset[str], familiar: np.ndarray) -> tuple[l
     else:
         little = sum(w.lower() in common for w in words) / max(1, n)
     marks = sum(len(m) for m in _MARK.findall(text))
-    symbols = (marks + sum(1 for c in bare if c not in _PLAIN and not c.isalnum())) / n_chars
-    digits = sum(c.isdigit() for c in text) / n_chars
-    entries = [e for e in _CUT.split(joined) if e and any(c.isalnum() for c in e)]
+    symbols = (marks + len(_SYMBOL.findall(bare))) / n_chars
+    digits = len(_DIGIT.findall(text)) / n_chars
+    entries = [e for e in _CUT.split(joined) if e and _ALNUM.search(e)]
     lines = [x.rstrip() for x in text.split("\n") if x.strip()]
     lower = [w.lower() for w in words]
     windows = [lower[i : i + WINDOW] for i in [*range(0, n - WINDOW, WINDOW), max(0, n - WINDOW)]]  # every word, and none too short to compare
@@ -139,14 +152,14 @@ def features(text: str, common: frozenset[str], familiar: np.ndarray) -> tuple[l
         math.log(max(1, len(entries)) + n) - math.log(n + 1),
         math.log((n + 0.5) / (len(entries) + 0.5)),
         variety,
-        float(familiar[bins].mean()) if len(bins) else -8.0,
+        0.0,
         sum(1 for x in lines if x[-1] in ".!?…。！？\"”»)") / max(1, len(lines)),
         math.log(1 + sum(map(len, words)) / max(1, n)),
         math.log(1 + min(n, WINDOW)),
         math.log((len(_STOP.findall(text)) + 0.1) / (n + 1)),
         math.sqrt(top * min(1.0, n / 8)),
     ]
-    return row, len(entries)
+    return row, len(entries), bins.astype(np.uint16).tobytes()
 
 
 def _design(x: np.ndarray) -> np.ndarray:
@@ -184,8 +197,10 @@ class Mixture:
     def sums(self, x: np.ndarray) -> np.ndarray:
         return self.shares(x).T @ _design(x)
 
-    def update(self, sums: np.ndarray) -> None:
+    def update(self, sums: np.ndarray) -> float:
+        """Take the sums of a round; returns how far the weighted means and the weights moved."""
         d = self.mean.shape[1]
+        before = np.c_[self.weight[:, None] * self.mean, self.weight]
         n, first, second = sums[:, 0], sums[:, 1 : d + 1], sums[:, d + 1 :].reshape(-1, d, d)
         a, b = self.MEAN_WEIGHT, self.SHAPE_WEIGHT
         self.weight = (n + 1) / (n.sum() + len(n))
@@ -195,6 +210,7 @@ class Mixture:
             off = m - self.start[k]
             self.cov[k] = (about + b * self.shape[k] + a * np.outer(off, off)) / (n[k] + b)
         self._prepare()
+        return float(np.abs(np.c_[self.weight[:, None] * self.mean, self.weight] - before).max())
 
 
 def fit(table: DataFrame, groups: list[np.ndarray], rounds: int = ROUNDS) -> Mixture:
@@ -214,7 +230,8 @@ def fit(table: DataFrame, groups: list[np.ndarray], rounds: int = ROUNDS) -> Mix
         sums = np.zeros(len(model.weight) * width)
         for at, v in table.select("x").mapInPandas(part, "at int, v double").groupBy("at").agg(F.sum("v")).collect():  # some thousand sums
             sums[at] = v
-        model.update(sums.reshape(-1, width))
+        if model.update(sums.reshape(-1, width)) < SETTLED:
+            break
     return model
 
 
@@ -229,23 +246,37 @@ def classified(documents: DataFrame, common_words: DataFrame, rounds: int = ROUN
     if len(listed) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
     common = frozenset(r.word for r in listed)
-    counts, n = trigram_counts(there)
+    folder = shared_folder(spark)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [features(t, common) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "x": [x for x, _, _ in rows], "n_entries": [e for _, e, _ in rows], "bins": [b for _, _, b in rows]})
+
+    measured = stage(there.mapInPandas(measure, "doc_id bigint, x array<double>, n_entries int, bins binary"), folder, "measured")
+    counts, n = trigram_counts(measured)
     if n == 0:
         return spark.createDataFrame([], "doc_id bigint, kind string, not_prose double, n_entries int")
     familiar = np.log((counts + 0.01) / n).clip(-8)
     shared = spark.sparkContext.broadcast(familiar)  # 65,536 numbers
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [features(t, common, shared.value) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "x": [x for x, _ in rows], "n_entries": [e for _, e in rows]})
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                x[:, FAMILIAR] = familiarity(list(batch["bins"]), shared.value)
+                yield batch[["doc_id", "n_entries"]].assign(x=list(x))
 
-    table = stage(there.mapInPandas(measure, "doc_id bigint, x array<double>, n_entries int"), shared_folder(spark), "features")
+    table = stage(measured.mapInPandas(complete, "doc_id bigint, n_entries int, x array<double>"), folder, "features")
+    drop_stage(spark, folder, "measured")
     d = len(FEATURES)
     moments = table.agg(*(F.avg(F.col("x")[i]) for i in range(d)), *(F.stddev_pop(F.col("x")[i]) for i in range(d))).first()
     shift, scale = np.array(moments[:d]), np.maximum(np.array(moments[d:]), 1e-3)
     seen = examples()
-    x = (np.array([features(t, common, familiar)[0] for _, _, t in seen]) - shift) / scale
+    read = [features(t, common) for _, _, t in seen]
+    x = np.array([r for r, _, _ in read])
+    x[:, FAMILIAR] = familiarity([b for _, _, b in read], familiar)
+    x = (x - shift) / scale
     names = list(dict.fromkeys((kind, group) for kind, group, _ in seen))
     of = np.array([names.index((kind, group)) for kind, group, _ in seen])
     standard = table.withColumn("x", F.array(*((F.col("x")[i] - float(shift[i])) / float(scale[i]) for i in range(d))))

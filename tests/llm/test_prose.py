@@ -65,7 +65,7 @@ def test_empty_and_tiny(spark):
 def test_long_text(spark):
     common = spark.createDataFrame(COMMON, "lang string, word string")
     text = "It was a good day and we walked to the sea. " * 5000
-    assert len(P.features(text, frozenset(w for _, w in COMMON), np.zeros(P.TRIGRAMS))[0]) == len(P.FEATURES)
+    assert len(P.features(text, frozenset(w for _, w in COMMON))[0]) == len(P.FEATURES)
     row = P.statistics(spark.createDataFrame([(1, text)], DOCS), common).first()
     assert row.n_words == 55_000 and row.stop_line_share == 1
 
@@ -102,7 +102,7 @@ def test_examples_name_every_kind():
 def test_every_word_lies_in_a_window(n):
     """Distinct words, but the last one repeats the one before it: variety shows it wherever the text ends."""
     words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(max(1, n - 1))]
-    variety = lambda w: P.features(" ".join(w), frozenset(), np.zeros(P.TRIGRAMS))[0][P.FEATURES.index("variety")]
+    variety = lambda w: P.features(" ".join(w), frozenset())[0][P.FEATURES.index("variety")]
     assert variety(words) == 1
     assert n == 1 or variety([*words, words[-1]]) < 1
 
@@ -110,5 +110,5 @@ def test_every_word_lies_in_a_window(n):
 def test_repetition_at_the_end_of_a_text():
     """79 words, the last 44 of which repeat one phrase."""
     prose = "we bought this lamp for our hallway because it seemed bright enough while my father likes its colour although nobody can reach that tiny switch without standing on one old wooden chair near every large window upstairs".split()[:35]
-    row = P.features(" ".join(prose + "very good shop here".split() * 11), frozenset(), np.zeros(P.TRIGRAMS))[0]
+    row = P.features(" ".join(prose + "very good shop here".split() * 11), frozenset())[0]
     assert len(set(prose)) == 35 and row[P.FEATURES.index("variety")] == (35 + 4 + 4) / 80
