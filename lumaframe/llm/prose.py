@@ -23,7 +23,7 @@ from lumaframe.llm.examples import examples
 from lumaframe.session import drop_stage, shared_folder, stage
 
 KINDS = ("prose", "list", "table", "junk")
-ROUNDS, SETTLED = 40, 1e-3  #: the fit ends when no mean (in standard deviations) and no weight moves by more, at the latest after ROUNDS
+ROUNDS, SETTLED = 40, 5e-3  #: the fit ends when no mean (in standard deviations) and no weight moves by more, at the latest after ROUNDS
 TRIGRAMS = 1 << 16  #: bins of the hashed counts of letter trigrams
 WINDOW = 40  #: words among which repetition is measured, one window after the other, the last one ending with the text
 MOST_COMMON = 10_000  #: common words
