@@ -188,6 +188,17 @@ def fill_report(packed: DataFrame) -> DataFrame:
     )
 
 
+def packing_faults(packed: DataFrame) -> DataFrame:
+    """container, capacity_tokens, n_documents, n_overfull, n_cut: the documents packed, containers above their capacity, and
+    documents cut though they fit; both counts must be 0."""
+    by = packed.groupBy("container", "capacity_tokens")
+    full = packed.groupBy("container", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container", "capacity_tokens").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull"))
+    whole = packed.groupBy("container", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max("piece").alias("last"))
+    cut = whole.groupBy("container", "capacity_tokens").agg(F.count_if((F.col("last") > 0) & (F.col("n") <= F.col("capacity_tokens"))).alias("n_cut"))
+    documents = by.agg(F.countDistinct("doc_id").alias("n_documents"))
+    return documents.join(full, ["container", "capacity_tokens"]).join(cut, ["container", "capacity_tokens"])
+
+
 def neighbour_report(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """container, capacity_tokens, n_pairs, cosine, cosine_of_any: how alike are texts that share a container.
 

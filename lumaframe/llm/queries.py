@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumaframe.llm.batches import nearest_accepted, repeated_images
 from lumaframe.llm.linked_sets import linked_images
 from lumaframe.llm.mixing import mix
-from lumaframe.llm.packing import fill_report, neighbour_report, pack
+from lumaframe.llm.packing import fill_report, neighbour_report, pack, packing_faults
 from lumaframe.llm.prose import classified, not_prose, statistics
 from lumaframe.llm.survivors import agreement, representatives
 from lumaframe.llm.trie_join import near_duplicate_images
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": lambda spark, d: near_duplicate_images(table(spark, d, "fingerprints")),
     "p6_packed": lambda spark, d: pack(*tables(spark, d, "documents", "containers")),
     "p6_filled": lambda spark, d: fill_report(pack(*tables(spark, d, "documents", "containers"))),
+    "p6_faults": lambda spark, d: packing_faults(pack(*tables(spark, d, "documents", "containers"))),
     "p6_neighbours": lambda spark, d: neighbour_report(*tables(spark, d, "documents", "containers")),
     "p7_mixed": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[0],
     "p7_shares": lambda spark, d: mix(*tables(spark, d, "documents", "source_targets"))[1],
@@ -92,6 +93,8 @@ SELECT v AS image_id, min(root) AS root_id FROM reach GROUP BY v""",
     "p5_found": _CURRENT + """
 SELECT a.image_id AS image_a, b.image_id AS image_b FROM cur a JOIN cur b ON a.image_id < b.image_id AND a.digest <> b.digest
 WHERE least(bit_count(xor(a.f, b.f)), bit_count(xor(a.c, b.c)), bit_count(xor(a.f, b.c)), bit_count(xor(a.c, b.f))) <= 6""",
+    "p6_faults": """SELECT DISTINCT container, capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS n_documents,
+CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_cut FROM containers WHERE container IS NOT NULL AND capacity_tokens > 0""",
     "p8_statistics": r"""
 WITH cw AS (SELECT list(DISTINCT lower(trim(word))) AS ws FROM common_words WHERE trim(word) <> ''),
 t AS (
