@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions.bits import least_distance
 from lumaframe.operators.current import current_fingerprints
+from lumaframe.operators.tries import near_values
+from lumaframe.session import free_shuffles, shared_folder, stage, unbounded
 
-TILE_ROWS = 8192  #: rows of a class table in a tile, about
-MOST_BANDED = 5  #: largest threshold for which bands of hash bits are selective
+LEAVES = 8  #: of the upper tries for thresholds up to 10
 
 
 def hash_classes(fingerprints: DataFrame) -> DataFrame:
@@ -32,39 +33,26 @@ def exact_classes(fingerprints: DataFrame) -> DataFrame:
     return rows.join(sizes, "digest").select("image_id", "class_id", "n_images")
 
 
-def _bands(h, threshold: int):
-    """threshold + 1 disjoint bands of the bits; of two hashes within the threshold, one band is equal."""
-    edges = [round(i * 64 / (threshold + 1)) for i in range(threshold + 2)]
-    return [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(h, a), 64 - (b - a)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+def carriers_of(rows: DataFrame, who: str) -> DataFrame:
+    """v, and the column `who`: each known hash of each row, once where both are equal."""
+    return rows.select(F.explode(F.array_distinct(F.array("full", "crop"))).alias("v"), who).filter("v IS NOT NULL")
 
 
-def near_classes(classes: DataFrame, threshold: int = 10, n_classes: int | None = None) -> DataFrame:
+def near_classes(classes: DataFrame, threshold: int = 10) -> DataFrame:
     """class_a < class_b, distance: pairs of classes whose least of the four distances is `threshold` or less.
 
-    Up to MOST_BANDED an equi-join of hash bands proposes the pairs; it loses none. Beyond, no index is selective enough,
-    and all pairs are compared in a triangle of tiles: a row goes to as many tiles as there are blocks, so the tiles are of
-    equal size whatever the data, and no side is broadcast.
+    Distinct hashes are joined by their tries, whatever the threshold, and the pairs of hashes then lead to those of classes.
+    No class is compared with every other, and no side is broadcast.
     """
-    if threshold <= MOST_BANDED:
-        hashes = F.array_distinct(F.array("full", "crop"))
-        bands = F.explode(F.array_distinct(F.flatten(F.transform(F.filter(hashes, lambda h: h.isNotNull()), lambda h: F.array(*_bands(h, threshold))))))
-        rows = classes.select("class_id", "full", "crop", bands.alias("band"))
-        a, b, on = rows, rows, F.lit(True)
-        keys = [F.col("a.band") == F.col("b.band")]
-    else:
-        n = n_classes if n_classes is not None else classes.count()
-        blocks = max(8, math.ceil(n / TILE_ROWS))
-        rows = classes.select("class_id", "full", "crop", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int").alias("block"))
-        a = rows.withColumn("lo", F.col("block")).withColumn("hi", F.explode(F.sequence("block", F.lit(blocks - 1))))
-        b = rows.withColumn("hi", F.col("block")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("block"))))
-        keys = [F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi")]
-        on = (F.col("a.lo") < F.col("a.hi")) | (F.col("a.class_id") < F.col("b.class_id"))
-        width = min(4096, blocks * (blocks + 1) // 2)
-        a, b = a.repartition(width, "lo", "hi"), b.repartition(width, "lo", "hi")
-    distance = least_distance(F.col("a.full"), F.col("a.crop"), F.col("b.full"), F.col("b.crop"))
-    joined = a.alias("a").join(b.alias("b").hint("shuffle_hash"), [*keys, on, F.col("a.class_id") != F.col("b.class_id"), distance <= threshold])
-    pairs = joined.select(F.least("a.class_id", "b.class_id").alias("class_a"), F.greatest("a.class_id", "b.class_id").alias("class_b"), distance.cast("int").alias("distance"))
-    return pairs.distinct() if threshold <= MOST_BANDED else pairs
+    folder = shared_folder(classes.sparkSession)
+    carriers = stage(carriers_of(classes, "class_id"), folder, "carriers")
+    values = stage(carriers.groupBy("v").agg(F.count("*").alias("n")), folder, "values")
+    free_shuffles(classes.sparkSession)
+    near = near_values(values, threshold, LEAVES).select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
+    links = near.unionByName(values.filter("n > 1").select(F.col("v").alias("x"), F.col("v").alias("y"), F.lit(0).alias("distance")))
+    left, right = (carriers.select(F.col("v").alias(v), F.col("class_id").alias(c)) for v, c in (("x", "a"), ("y", "b")))
+    pairs = links.join(unbounded(left), "x").join(unbounded(right), "y").filter("a <> b")
+    return pairs.groupBy(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).agg(F.min("distance").alias("distance"))
 
 
 def matches_of(queries: DataFrame, fingerprints: DataFrame, threshold: int = 10) -> DataFrame:

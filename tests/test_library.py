@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 from helpers import at, fingerprint, fingerprints, groups, images, members, rows_of
 from pyspark.sql import functions as F
 
@@ -53,6 +55,20 @@ def test_near_classes_against_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_classes_meet_few_others(spark):
+    """Hashes that differ in some 32 bits aren't compared: all that is sent grows with the classes, not with their pairs."""
+    rng = np.random.default_rng(7)
+    h = rng.integers(-(2**63), 2**63, 20_000)
+    classes = spark.createDataFrame(pd.DataFrame({"class_id": np.arange(20_000), "full": h, "crop": h}))
+    for t in (4, 10):
+        near = near_classes(classes, t)
+        x, y = (h[i] for i in np.triu_indices(2_000, 1))
+        among = near.filter("class_a < 2000 AND class_b < 2000").count()
+        assert among == int((np.bitwise_count(x ^ y) <= t).sum())
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" not in plan and "Broadcast" not in plan  # neither tiles of all pairs nor buckets of bands
+
+
 def test_exact_classes(spark):
     _, log = _log(spark)
     got = {r.image_id: (r.class_id, r.n_images) for r in exact_classes(log).collect()}
