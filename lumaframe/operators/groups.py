@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions.media import group_tag
 from lumaframe.operators.components import components
+from lumaframe.operators.current import current_fingerprints
 from lumaframe.operators.order import numbered
-from lumaframe.operators.similarity import exact_classes, hash_classes, near_classes
+from lumaframe.operators.similarity import LEAVES, carriers_of
+from lumaframe.operators.tries import near_values
+from lumaframe.session import free_shuffles, shared_folder, stage, unbounded
 
 
 def duplicate_groups(fingerprints: DataFrame, threshold: int = 10) -> DataFrame:
     """image_id, root: images that are duplicates of another one, directly or over others; root is the least of them.
 
-    Duplicates have the same digest or a distance within the threshold. Near pairs link classes; copies of one file hang on
-    their class, so their pairs are never written out.
+    Duplicates have the same digest or a distance within the threshold. Images hang on the least of those with the same file,
+    and on the least of those with a hash in common; near hashes link these. So pairs of copies are never written out.
     """
-    classes = hash_classes(fingerprints)
-    exact = exact_classes(fingerprints)
-    near = near_classes(classes, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    copies = exact.filter("n_images > 1").select(F.col("class_id").alias("a"), F.col("image_id").alias("b"))
-    return components(near.unionByName(copies)).select(F.col("id").alias("image_id"), "root")
+    spark = fingerprints.sparkSession
+    folder = shared_folder(spark)
+    current = current_fingerprints(fingerprints, "digest", "dhash_full", "dhash_crop").select("image_id", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
+    rows = stage(current, folder, "current")
+    carriers = carriers_of(rows, "image_id")
+    values = stage(carriers.groupBy("v").agg(F.min("image_id").alias("a"), F.count("*").alias("n")), folder, "values")
+    free_shuffles(spark)
+    near = stage(near_values(values, threshold, LEAVES), folder, "near")
+    free_shuffles(spark)
+    known = rows.filter("digest IS NOT NULL").select("digest", "image_id")
+    files = known.groupBy("digest").agg(F.min("image_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    of_file = known.join(unbounded(files), "digest").select("a", F.col("image_id").alias("b"))
+    of_hash = carriers.join(unbounded(values.filter("n > 1")), "v").select("a", F.col("image_id").alias("b"))
+    x, y = (values.select(F.col("v").alias(v), F.col("a").alias(c)) for v, c in (("x", "a"), ("y", "b")))
+    of_near = near.join(unbounded(x), "x").join(unbounded(y), "y").select("a", "b")
+    return components(of_file.unionByName(of_hash).unionByName(of_near)).select(F.col("id").alias("image_id"), "root")
 
 
 def named_groups(groups: DataFrame, first_number: int = 1) -> DataFrame:

@@ -69,6 +69,16 @@ def test_near_classes_meet_few_others(spark):
         assert "ShuffledHashJoin" not in plan and "Broadcast" not in plan  # neither tiles of all pairs nor buckets of bands
 
 
+def test_groups_without_pairs_of_copies(spark, monkeypatch):
+    """Images with a hash in common hang on the least of them, however many, whatever their files."""
+    edges = []
+    monkeypatch.setattr(G, "components", lambda e: edges.append(e.count()) or components(e))
+    rows = [fingerprint(i, i, 0) for i in range(1, 200)] + [fingerprint(900, 900, -1, -1), fingerprint(901, 901, -1 << 8, None), fingerprint(902, 5, 0x0F0F0F0F << 32, None)]
+    got = {r.image_id: r.root for r in G.duplicate_groups(fingerprints(spark, rows)).collect()}
+    assert got == {i: 1 for i in range(1, 200)} | {900: 900, 901: 900, 902: 1}
+    assert edges[0] < 5 * len(rows)  # not their 19,701 pairs
+
+
 def test_exact_classes(spark):
     _, log = _log(spark)
     got = {r.image_id: (r.class_id, r.n_images) for r in exact_classes(log).collect()}
