@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions.bits import least_distance
 from lumaframe.operators.current import current_fingerprints
-from lumaframe.operators.tries import near_values
+from lumaframe.operators.tries import near_across, near_values
 from lumaframe.session import free_shuffles, shared_folder, stage, unbounded
 
 LEAVES = 8  #: of the upper tries for thresholds up to 10
@@ -58,18 +56,36 @@ def near_classes(classes: DataFrame, threshold: int = 10) -> DataFrame:
 def matches_of(queries: DataFrame, fingerprints: DataFrame, threshold: int = 10) -> DataFrame:
     """query_id, image_id, distance: for each query all other images with the same digest or a distance within the threshold.
 
-    queries and fingerprints: image_id, digest, full, crop. A stated set of queries against all rows, in blocks: the
-    queries are dealt into blocks of 1024, the rows into slices, and each block meets each slice in one cell of a grid.
+    queries and fingerprints: image_id, digest, full, crop, a row per image. Images of one digest and hashes are a class on either
+    side. The distinct hashes of the queries meet those of all rows by their tries, pairs of hashes lead to those of classes,
+    and only the result has a row for each copy: a picture with a third of all rows isn't shuffled as pairs.
     """
-    width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, slices = max(1, math.ceil(queries.count() / 1024)), 2 * width
-
-    def spread(n: int, name: str):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-
-    q = queries.select(F.col("image_id").alias("query_id"), F.col("digest").alias("qd"), F.col("full").alias("qf"), F.col("crop").alias("qc"), F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int").alias("block"), spread(slices, "slice"))
-    rows = fingerprints.select("image_id", "digest", "full", "crop", F.pmod(F.xxhash64("image_id"), F.lit(slices)).cast("int").alias("slice"), spread(blocks, "block"))
-    same = F.coalesce(F.col("digest") == F.col("qd"), F.lit(False))
-    distance = least_distance(F.col("full"), F.col("crop"), F.col("qf"), F.col("qc"))
-    hits = rows.join(q.hint("shuffle_hash"), ["block", "slice"]).filter((F.col("image_id") != F.col("query_id")) & (same | (distance <= threshold)))
-    return hits.select("query_id", "image_id", distance.cast("int").alias("distance"))
+    folder = shared_folder(queries.sparkSession)
+    asked, ask = _classed(queries, folder, "queries")
+    rows, held = _classed(fingerprints, folder, "rows")
+    of_query, of_row = (carriers_of(c, "id").select(F.col("v").alias(v), F.col("id").alias(i)) for c, v, i in ((ask, "x", "qc"), (held, "y", "rc")))
+    values = [stage(c.select(F.col(v).alias("v")).distinct(), folder, f"values-{v}") for c, v in ((of_query, "x"), (of_row, "y"))]
+    pairs = near_across(*values, threshold).select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
+    near = pairs.join(unbounded(of_query), "x").join(unbounded(of_row), "y").select("qc", "rc", "distance")
+    known = ask.select(F.col("id").alias("qc"), "digest", F.col("full").alias("qf"), F.col("crop").alias("qk")).filter("digest IS NOT NULL")
+    distance = least_distance(F.col("full"), F.col("crop"), F.col("qf"), F.col("qk")).cast("int").alias("distance")
+    same = held.join(unbounded(known), "digest").select("qc", F.col("id").alias("rc"), distance)
+    found = stage(near.unionByName(same).groupBy("qc", "rc").agg(F.min("distance").alias("distance")), folder, "found")
+    free_shuffles(queries.sparkSession)
+    met = held.join(unbounded(found.select(F.col("rc").alias("id")).distinct()), "id", "left_semi")
+    mine, others = _members(asked, ask, "qc", "query_id"), _members(rows, met, "rc", "image_id")
+    return found.join(unbounded(mine), "qc").join(unbounded(others), "rc").filter("image_id <> query_id").select("query_id", "image_id", "distance")
+
+
+def _classed(rows: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows, and their classes: id (the least image), digest, full, crop; both written."""
+    rows = stage(rows.select("image_id", "digest", "full", "crop"), folder, name)
+    classes = rows.groupBy("digest", "full", "crop").agg(F.min("image_id").alias("id"))
+    return rows, stage(classes.select("id", "digest", "full", "crop"), folder, f"{name}-classes")
+
+
+def _members(rows: DataFrame, classes: DataFrame, class_name: str, name: str) -> DataFrame:
+    """The images of classes; an unknown digest or hash is as good as any other value here."""
+    keys = classes.select(F.col("id").alias(class_name), F.col("digest").alias("d"), F.col("full").alias("f"), F.col("crop").alias("c"))
+    on = F.col("digest").eqNullSafe(F.col("d")) & F.col("full").eqNullSafe(F.col("f")) & F.col("crop").eqNullSafe(F.col("c"))
+    return rows.join(unbounded(keys), on).select(class_name, F.col("image_id").alias(name))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +34,7 @@ FRONTIER = 1 << 18  #: node pairs walked together
 ROWS = 1 << 21  #: hashes compared together
 PAIRS = 1 << 20  #: found pairs that a task hands on together
 PARTNERS = 4  #: partner leaves that meet a host leaf in one task
+ACROSS = 1 << 20  #: hashes of either side in a task of near_across, about
 LEAF_HASHES = 1 << 17  #: hashes in a leaf of the upper trie, at least
 LEAF_MOST = 1 << 22  #: and at most, as long as the histogram can tell leaves that small apart; 32 MB
 
@@ -343,6 +344,48 @@ def near_values(values: DataFrame, budget: int, leaves: int = 32) -> DataFrame:
     return routed.repartition(width, "task").groupBy("task").applyInPandas(_joiner(p.part_of, parts, budget), "x bigint, y bigint")
 
 
+def near_across(asked: DataFrame, values: DataFrame, budget: int) -> DataFrame:
+    """Pairs (x, y) of the distinct BIGINTs in column v of `asked` and of `values` that differ in `budget` bits at most, equal ones too.
+
+    Both should be written tables. The values are dealt into slices and each goes to one task for each ACROSS that are asked;
+    what is asked goes to all slices. In a task tries of all parts are walked.
+    """
+    spark = values.sparkSession
+    m, n = asked.count(), values.count()
+    blocks, slices = max(1, -(-m // ACROSS)), max(spark.sparkContext.defaultParallelism, -(-n // ACROSS))
+    parts = layout(math.isqrt(max(1, m // blocks) * max(1, n // slices)), budget)
+
+    def dealt(df: DataFrame, role: int, own: int, others: int, own_name: str, other_name: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("v"), F.lit(own)).cast("int").alias(own_name)
+        return df.select("v", F.lit(role).alias("role"), mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other_name))
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches)  # 2 * ACROSS, about
+        a, b = (rows.loc[rows["role"] == r, "v"].to_numpy(np.int64).view(np.uint64) for r in (1, 0))
+        for i, j in _local(a, b, False, budget, parts) if len(a) and len(b) else ():
+            yield pd.DataFrame({"x": a[i].view(np.int64), "y": b[j].view(np.int64)})
+
+    both = dealt(asked, 1, blocks, slices, "block", "slice").unionByName(dealt(values, 0, slices, blocks, "slice", "block"))
+    cells = both.repartition(min(4096, blocks * slices), "block", "slice").groupBy("block", "slice")
+    return cells.applyInPandas(_chunks(join), "x bigint, y bigint")
+
+
+def _chunks(join: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """As applyInPandas over batches wants it; found pairs are handed on PAIRS at a time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, n = [pd.DataFrame({"x": np.empty(0, np.int64), "y": np.empty(0, np.int64)})], 0
+        for found in join(batches):
+            kept.append(found)
+            n += len(found)
+            if n >= PAIRS:
+                yield pd.concat(kept)
+                kept, n = kept[:1], 0
+        yield pd.concat(kept)
+
+    return run
+
+
 def near_duplicate_images(fingerprints: DataFrame, budget: int = 6) -> DataFrame:
     """Pairs image_a < image_b of images with different file digests whose current hashes are near.
 

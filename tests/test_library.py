@@ -103,6 +103,19 @@ def test_matches(spark):
     assert got == want
 
 
+def test_matches_meet_few_others(spark):
+    rng = np.random.default_rng(8)
+    h = rng.integers(-(2**63), 2**63, 5_000)
+    h[1::2] = h[::2] ^ np.int64(0x3FF)  # ten bits away
+    rows = spark.createDataFrame(pd.DataFrame({"image_id": np.arange(5_000), "full": h, "crop": h ^ 1})).withColumn("digest", F.when(F.col("image_id") % 50 == 7, F.lit(b"one")))
+    got = matches_of(rows.filter("image_id % 50 = 0 OR image_id = 7"), rows.unionByName(rows.limit(0)), 10)
+    near = {(r.query_id, r.image_id): r.distance for r in got.collect()}
+    assert {q: near.pop((q, q + 1)) for q in range(0, 5_000, 50)} == dict.fromkeys(range(0, 5_000, 50), 9)  # full and crop
+    assert near.pop((7, 6)) == 9 and set(near) == {(7, i) for i in range(57, 5_000, 50)}  # the same file, however far
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and "Broadcast" not in plan  # no grid of all queries and all rows
+
+
 def test_components_of_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(200, 230)]
