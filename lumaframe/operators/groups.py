@@ -109,11 +109,20 @@ def reconciled_groups(groups: DataFrame, components_: DataFrame, members: DataFr
 def probe_actions(matches: DataFrame, members: DataFrame) -> DataFrame:
     """query_id, action (existing, merge, new), groups, n_matches: what the matches of a new image mean.
 
-    No row for an image without matches.
+    No row for an image without matches. matches: query_id, image_id; see grouped_actions for those that carry a group.
     """
-    held = members.dropna().groupBy("image_id").agg(F.min("group_id").alias("group_id"))
-    rows = matches.select("query_id", "image_id").join(held, "image_id", "left")
-    summed = rows.groupBy("query_id").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_set("group_id")).alias("groups"))
+    return grouped_actions(matches.select("query_id", "image_id").join(first_groups(members), "image_id", "left"))
+
+
+def first_groups(members: DataFrame) -> DataFrame:
+    """image_id, group_id: the least group of each member."""
+    return members.dropna().groupBy("image_id").agg(F.min("group_id").alias("group_id"))
+
+
+def grouped_actions(matches: DataFrame) -> DataFrame:
+    """probe_actions of matches (query_id, group_id, null if the image is in none). They are counted by group before any shuffle."""
+    counted = matches.groupBy("query_id", "group_id").agg(F.count("*").alias("n"))
+    summed = counted.groupBy("query_id").agg(F.sum("n").alias("n_matches"), F.array_sort(F.collect_set("group_id")).alias("groups"))
     n = F.size("groups")
     return summed.select("query_id", F.when(n == 0, "new").when(n == 1, "existing").otherwise("merge").alias("action"), "groups", "n_matches")
 

@@ -53,16 +53,17 @@ def near_classes(classes: DataFrame, threshold: int = 10) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).agg(F.min("distance").alias("distance"))
 
 
-def matches_of(queries: DataFrame, fingerprints: DataFrame, threshold: int = 10) -> DataFrame:
+def matches_of(queries: DataFrame, fingerprints: DataFrame, threshold: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """query_id, image_id, distance: for each query all other images with the same digest or a distance within the threshold.
 
     queries and fingerprints: image_id, digest, full, crop, a row per image. Images of one digest and hashes are a class on either
     side. The distinct hashes of the queries meet those of all rows by their tries, pairs of hashes lead to those of classes,
-    and only the result has a row for each copy: a picture with a third of all rows isn't shuffled as pairs.
+    and only the result has a row for each copy: a picture with a third of all rows isn't shuffled as pairs. carry: further columns
+    of the fingerprints that a match has, so that it needn't be joined with them.
     """
     folder = shared_folder(queries.sparkSession)
     asked, ask = _classed(queries, folder, "queries")
-    rows, held = _classed(fingerprints, folder, "rows")
+    rows, held = _classed(fingerprints, folder, "rows", carry)
     of_query, of_row = (carriers_of(c, "id").select(F.col("v").alias(v), F.col("id").alias(i)) for c, v, i in ((ask, "x", "qc"), (held, "y", "rc")))
     values = [stage(c.select(F.col(v).alias("v")).distinct(), folder, f"values-{v}") for c, v in ((of_query, "x"), (of_row, "y"))]
     pairs = near_across(*values, threshold).select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
@@ -73,19 +74,19 @@ def matches_of(queries: DataFrame, fingerprints: DataFrame, threshold: int = 10)
     found = stage(near.unionByName(same).groupBy("qc", "rc").agg(F.min("distance").alias("distance")), folder, "found")
     free_shuffles(queries.sparkSession)
     met = held.join(unbounded(found.select(F.col("rc").alias("id")).distinct()), "id", "left_semi")
-    mine, others = _members(asked, ask, "qc", "query_id"), _members(rows, met, "rc", "image_id")
-    return found.join(unbounded(mine), "qc").join(unbounded(others), "rc").filter("image_id <> query_id").select("query_id", "image_id", "distance")
+    mine, others = _members(asked, ask, "qc", "query_id"), _members(rows, met, "rc", "image_id", carry)
+    return found.join(unbounded(mine), "qc").join(unbounded(others), "rc").filter("image_id <> query_id").select("query_id", "image_id", "distance", *carry)
 
 
-def _classed(rows: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+def _classed(rows: DataFrame, folder: str, name: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The rows, and their classes: id (the least image), digest, full, crop; both written."""
-    rows = stage(rows.select("image_id", "digest", "full", "crop"), folder, name)
+    rows = stage(rows.select("image_id", "digest", "full", "crop", *carry), folder, name)
     classes = rows.groupBy("digest", "full", "crop").agg(F.min("image_id").alias("id"))
     return rows, stage(classes.select("id", "digest", "full", "crop"), folder, f"{name}-classes")
 
 
-def _members(rows: DataFrame, classes: DataFrame, class_name: str, name: str) -> DataFrame:
+def _members(rows: DataFrame, classes: DataFrame, class_name: str, name: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The images of classes; an unknown digest or hash is as good as any other value here."""
     keys = classes.select(F.col("id").alias(class_name), F.col("digest").alias("d"), F.col("full").alias("f"), F.col("crop").alias("c"))
     on = F.col("digest").eqNullSafe(F.col("d")) & F.col("full").eqNullSafe(F.col("f")) & F.col("crop").eqNullSafe(F.col("c"))
-    return rows.join(unbounded(keys), on).select(class_name, F.col("image_id").alias(name))
+    return rows.join(unbounded(keys), on).select(class_name, F.col("image_id").alias(name), *carry)

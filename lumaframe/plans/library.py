@@ -72,13 +72,13 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     return hash_classes(table(spark, d, "fingerprints"))
 
 
-def _probes(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_fingerprints(table(spark, d, "fingerprints"), "digest", "dhash_full", "dhash_crop").select("image_id", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
-    return matches_of(rows.filter(F.col("image_id") % 50 == 0), rows)
+def _prints(spark: SparkSession, d: str) -> DataFrame:
+    return current_fingerprints(table(spark, d, "fingerprints"), "digest", "dhash_full", "dhash_crop").select("image_id", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
 
 
 def probe_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _probes(spark, d).groupBy("query_id").agg(F.count("*").alias("n_matches"), F.min("distance").alias("nearest"))
+    rows = _prints(spark, d)
+    return matches_of(rows.filter(F.col("image_id") % 50 == 0), rows).groupBy("query_id").agg(F.count("*").alias("n_matches"), F.min("distance").alias("nearest"))
 
 
 def _duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +97,10 @@ def actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probe_actions(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.probe_actions(_probes(spark, d), table(spark, d, "group_members"))
-    return rows.select("query_id", "action", _joined("groups"), "n_matches")
+    rows = _prints(spark, d)
+    grouped = rows.join(G.first_groups(table(spark, d, "group_members")), "image_id", "left")
+    acts = G.grouped_actions(matches_of(rows.filter(F.col("image_id") % 50 == 0), grouped, carry=("group_id",)))
+    return acts.select("query_id", "action", _joined("groups"), "n_matches")
 
 
 def _open(spark: SparkSession, d: str) -> DataFrame:

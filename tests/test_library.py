@@ -116,6 +116,17 @@ def test_matches_meet_few_others(spark):
     assert "ShuffledHashJoin" not in plan and "Broadcast" not in plan  # no grid of all queries and all rows
 
 
+def test_matches_carry_their_groups(spark):
+    """A picture with many copies: counted by group as the pairs are made, which are never shuffled to be looked up."""
+    rows = current_fingerprints(fingerprints(spark, [fingerprint(i, 1, 5) for i in range(1, 301)] + [fingerprint(950, 9, -1)]), "digest", "dhash_full", "dhash_crop")
+    rows = rows.select("image_id", "digest", F.col("dhash_full").alias("full"), F.col("dhash_crop").alias("crop"))
+    held = members(spark, [(7, 1), (8, 1), (8, 2), (9, 9), (None, 3)])
+    queries = rows.filter("image_id % 50 = 0")
+    grouped = rows.join(G.first_groups(held), "image_id", "left")
+    got = G.grouped_actions(matches_of(queries, grouped, carry=("group_id",)))
+    assert rows_of(got) == rows_of(G.probe_actions(matches_of(queries, rows), held)) == [(q, "merge", [7, 8, 9], 299) for q in (100, 150, 200, 250, 300, 50)]
+
+
 def test_components_of_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(200, 230)]
