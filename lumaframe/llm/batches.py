@@ -6,8 +6,10 @@ their records. What a cell can hold near a query q is bounded below by the trian
 to the cell's centroid and d0 that to its nearest one, a hash of the cell is at least (d - d0) / 2 away, at least d less the
 cell's widest ring, and at least its narrowest ring less d or d0. Cells are probed in order of the bound: first the nearest
 cell, then every other one whose bound doesn't exceed the distance found there, or the radius if nothing was found. Then
-nothing nearer can be left. Within a cell only rings that the bound allows are compared, in full. File digests lie in cells of
-their own, by their first bytes, and are compared in full as well.
+nothing nearer can be left. Within a cell only rings that the bound allows are compared, in full, and of a large cell only what
+shares one of radius + 1 words of bits with the query, wherever these are fewer: two hashes that differ in no more bits than the
+radius have one of the words alike. So a cell may be large, and the cells few enough to be told apart at little cost. File digests
+lie in cells of their own, by their first bytes, and are compared in full as well.
 
 The cells are a Parquet table. Cells are dealt to parts of about PART records, and the table is bucketed by part. Probing
 shuffles the batch to the parts; the history is never shuffled. A record is stored once, in a row per cell and batch; cells that
@@ -21,6 +23,7 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,11 +36,16 @@ from lumaframe.session import free_shuffles, shared_folder, stage
 
 SAMPLE = 1 << 17  #: hashes that the centroids are trained on, at most; every hash is indexed
 MOST_CELLS = 1 << 16  #: centroids: 512 KB
+CELLS = 1 << 7  #: centroids, unless cells of DEAL records need more of them
 PART = 500_000  #: records in a part, about
+FEW_PARTS = 12  #: parts however few the records are, unless Spark shuffles to fewer; more of them start tasks that have little to do
+LAYOUT = 2  #: of the parts; an index is only read by the layout that wrote it
 DEAL = 1 << 18  #: records of a cell in one piece of it, about
 SMALL = 1000  #: records of a batch for which the probed cells are listed, so that the scan leaves out the others
-FLUSH = 1 << 19  #: hashes that a task routes together
-BLOCK = 1 << 22  #: distances computed together
+FLUSH = 1 << 17  #: hashes that a task routes together
+BLOCK = 1 << 16  #: distances computed together: half a megabyte
+GATHER = 1 << 18  #: hashes with a word alike that are compared together
+WORD = 16  #: bits of a word that are looked up, at most
 SPLIT = 1 << 24  #: records of a batch that are probed together
 MERGE_AFTER = 6  #: batches whose rows are merged with what was merged before
 
@@ -53,7 +61,7 @@ def _rows(v: np.ndarray, centers: np.ndarray) -> Iterator[tuple[int, np.ndarray]
     """Distances to all centers, some rows at a time."""
     step = max(1, BLOCK // len(centers))
     for at in range(0, len(v), step):
-        yield at, np.bitwise_count(v[at : at + step, None] ^ centers[None, :]).astype(np.int16)
+        yield at, np.bitwise_count(v[at : at + step, None] ^ centers[None, :])
 
 
 def assign(v: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +94,13 @@ def bounds(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(high < 0, 99, b)
 
 
+def reached(d: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the bound of each cell is within the limit of each query, in bytes: bounds(d, low, high) <= limit. d as bytes."""
+    best, limit = d.min(axis=1, keepdims=True), np.minimum(limit, 64).astype(np.uint8)[:, None]
+    low, high = np.where(high < 0, 255, low).astype(np.uint8), np.maximum(high, 0).astype(np.uint8)
+    return (d <= best + 2 * limit) & (d <= high + limit) & (d + limit >= low) & (low <= best + limit)
+
+
 def _whole_digest() -> Column:
     """32 bytes whatever the digest: what isn't a digest of 32 bytes is digested."""
     other = F.unhex(F.sha2(F.concat(F.lit(b"?"), F.col("digest")), 256))
@@ -97,12 +112,15 @@ def _digests(values: pd.Series) -> np.ndarray:
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+    """In turn, so that parts hold as many cells."""
+    return ((key >> _KEY_BITS) + (key & ((1 << _KEY_BITS) - 1))) % parts
 
 
 def _packed(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
     """The values of each key, packed."""
-    order = np.argsort(keys, kind="stable")
+    cell = keys >> _KEY_BITS
+    undealt = len(keys) and int(cell.max()) < 1 << 16 and bool((cell << _KEY_BITS == keys).all())
+    order = np.argsort(cell.astype(np.uint16) if undealt else keys, kind="stable")  # of 16 bits a radix sort
     keys, values = keys[order], values[order]
     edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
     return [(int(keys[a]), values[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
@@ -129,30 +147,81 @@ def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept)
 
 
+def _least(at: np.ndarray, far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place the least distance, and the least id at it."""
+    order = np.lexsort((near, far, at))
+    at, far, near = at[order], far[order], near[order]
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1]
+    return at[first], far[first], near[first]
+
+
+def _alike(q: np.ndarray, stored: np.ndarray, radius: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each of radius + 1 words: an order of what is stored, and from where and how many in it have the word of each query;
+    and how many these are for each query in all."""
+    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    words, total = [], np.zeros(len(q), np.int64)
+    for start, end in zip(edges, edges[1:]):
+        bits = min(end - start, WORD, max(1, len(stored).bit_length()))
+        of = lambda v: (v << np.uint64(start) >> np.uint64(64 - bits)).astype(np.uint16)  # noqa: E731, B023
+        s = of(stored)
+        ends = np.cumsum(np.bincount(s, minlength=1 << bits))
+        w = of(q)
+        n = np.diff(ends, prepend=0)[w]
+        words.append((np.argsort(s, kind="stable"), ends[w] - n, n))
+        total += n
+    return words, total
+
+
+def _by_words(q: np.ndarray, stored: np.ndarray, ids: np.ndarray, radius: int, words: list, few: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As nearest_in, of the queries at the places `few`, comparing them with what has a word alike."""
+    found = [(np.empty(0, np.int64),) * 3]
+    for order, start, n in words:
+        rows = few[n[few] > 0]
+        ends = np.cumsum(n[rows])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GATHER, "right")))
+            some, n_some = rows[a:b], n[rows[a:b]]
+            at = np.repeat(some, n_some)
+            of = order[np.arange(len(at)) + np.repeat(start[some] - np.cumsum(n_some) + n_some, n_some)]
+            d = np.bitwise_count(q[at] ^ stored[of])
+            hit = np.flatnonzero(d <= radius)
+            if len(hit):
+                found.append(_least(at[hit], d[hit].astype(np.int64), ids[of[hit]]))
+            a = b
+    return _least(*(np.concatenate(x) for x in zip(*found)))
+
+
 def nearest_in(q: np.ndarray, stored: np.ndarray, rings: np.ndarray, ids: np.ndarray, center: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the queries with a stored hash within the radius: their places, the least distance, and the least id at it. stored in order of rings."""
     d = np.bitwise_count(q ^ center).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(np.bincount(rings, minlength=65))])
+    group = d // TOGETHER * TOGETHER
+    in_rings = upto[np.minimum(group + TOGETHER - 1 + radius, 64) + 1] - upto[np.maximum(group - radius, 0)]
     at, far, near = [], [], []
-    for value in np.unique(d // TOGETHER) * TOGETHER:
+    left = np.ones(len(q), bool)
+    # what has a word alike is gathered, at about eight times the cost of a hash of the rings; the words are worth it only where many are compared
+    if 64 // (radius + 1) >= 4 and in_rings.sum() > (radius + 1) * (50_000 + 10 * (len(q) + len(stored))):
+        words, n = _alike(q, stored, radius)
+        left = 8 * n > in_rings
+        for part, x in zip((at, far, near), _by_words(q, stored, ids, radius, words, np.flatnonzero(~left))):
+            part.append(x)
+    for value in np.unique(group[left]):
         lo, hi = np.searchsorted(rings, value - radius, "left"), np.searchsorted(rings, value + TOGETHER - 1 + radius, "right")
-        of = np.flatnonzero((d >= value) & (d < value + TOGETHER))
-        step = max(1, BLOCK // max(1, hi - lo))
+        of = np.flatnonzero(left & (group == value))
+        wide = min(BLOCK, max(1, hi - lo))  # where many are stored, some of them at a time
+        step = max(1, BLOCK // wide)
         for a in range(0, len(of) if hi > lo else 0, step):
             rows = of[a : a + step]
-            # where many are stored, some of them at a time
-            least, who = np.full(len(rows), 99, np.int64), np.full(len(rows), np.iinfo(np.int64).max, np.int64)
-            for s in range(lo, hi, BLOCK):
-                e = min(hi, s + BLOCK)
-                m = np.bitwise_count(q[rows, None] ^ stored[None, s:e])
-                best = m.min(axis=1).astype(np.int64)
-                for i in np.flatnonzero((best <= radius) & (best <= least)):
-                    first = ids[s:e][m[i] == best[i]].min()
-                    who[i] = first if best[i] < least[i] else min(who[i], first)
-                    least[i] = best[i]
-            hit = np.flatnonzero(least <= radius)
-            at.append(rows[hit]), far.append(least[hit]), near.append(who[hit])
+            for s in range(lo, hi, wide):
+                m = np.bitwise_count(q[rows, None] ^ stored[None, s : min(hi, s + wide)])
+                i, j = np.nonzero(m <= np.minimum(radius, m.min(axis=1, keepdims=True)))
+                if len(i):
+                    for part, x in zip((at, far, near), _least(rows[i], m[i, j].astype(np.int64), ids[s + j])):
+                        part.append(x)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return join(at), join(far), join(near)
+    return _least(join(at), join(far), join(near))
 
 
 class CellIndex:
@@ -183,13 +252,13 @@ class CellIndex:
         expected: number of records the index shall hold in time; it only decides how many cells there are. The sample are the
         SAMPLE distinct hashes with the least hash of themselves.
         """
-        cells = cells or min(MOST_CELLS, 1 << max(0, round(math.log2(2 * math.sqrt(max(1, expected))))))
+        cells = cells or min(MOST_CELLS, 1 << max(0, round(math.log2(max(min(CELLS, 2 * math.sqrt(max(1, expected))), expected / DEAL)))))
         mixed = F.xxhash64(F.col("hash"), F.lit(17))
         rows = first.filter(F.col("hash").isNotNull()).select("hash").distinct().orderBy(mixed, "hash").limit(min(SAMPLE, 16 * cells)).collect()
         centers = train(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), cells)
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = buckets or max(min(FEW_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(4096, expected // PART))
         k = len(centers)
-        return cls(spark, path, {"centers": centers.view(np.int64).tolist(), "low": [99] * k, "high": [-1] * k, "deals": {}, "parts": buckets or max(width, min(4096, expected // PART)), "bucketed": buckets or max(width, min(4096, expected // PART)), "generation": 0, "merged": [], "batches": []})
+        return cls(spark, path, {"centers": centers.view(np.int64).tolist(), "low": [99] * k, "high": [-1] * k, "deals": {}, "parts": parts, "bucketed": parts, "layout": LAYOUT, "generation": 0, "merged": [], "batches": []})
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -210,7 +279,10 @@ class CellIndex:
     def open(cls, spark: SparkSession, path: str) -> CellIndex:
         p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
         names = sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.getPath().getName().startswith("state-") and not s.getPath().getName().endswith(".tmp"))
-        return cls(spark, path, json.loads(spark.read.text(names[-1], wholetext=True).first()[0]))
+        state = json.loads(spark.read.text(names[-1], wholetext=True).first()[0])
+        if state.get("layout") != LAYOUT:
+            raise ValueError(f"{path} was written by another version: its cells lie in other parts")
+        return cls(spark, path, state)
 
     def _router(self, radius: int, first: bool):
         """Send what is asked to the cells. first: hashes to the nearest cell and digests to theirs; else hashes to the others."""
@@ -229,17 +301,20 @@ class CellIndex:
                     out += _packed(key, v[at])
                     known = rows.loc[rows["digest"].notna(), "digest"]
                     if len(known):
-                        w = np.unique(_digests(known), axis=0)
+                        w = _digests(known)
                         key, at = keys(n_cells + (w[:, 0] % np.uint64(parts)).astype(np.int64), w[:, 1], True)
                         out += _packed(key, w[at])
                 else:
                     limit = np.minimum(there["distance"].to_numpy(np.int64), radius)  # what is nearer, or as near: of equals the least id counts
+                    qs, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                     for at, d in _rows(v, centers):
-                        b = bounds(d, low, high)
-                        b[np.arange(len(d)), d.argmin(axis=1)] = 99  # it was probed first
-                        q, cell = np.nonzero(b <= limit[at : at + len(d), None])
-                        key, where = keys(cell, v[at + q], True)
-                        out += _packed(key, v[at + q][where])
+                        there = reached(d, low, high, limit[at : at + len(d)])
+                        there[np.arange(len(d)), d.argmin(axis=1)] = False  # it was probed first
+                        q, cell = np.nonzero(there)
+                        qs.append(at + q), cells.append(cell)
+                    asked = v[np.concatenate(qs)]
+                    key, where = keys(np.concatenate(cells), asked, True)
+                    out += _packed(key, asked[where])
                 if out:
                     yield _with_part(pd.DataFrame(out, columns=["key", "packed"]), parts)
 
@@ -263,7 +338,7 @@ class CellIndex:
                     lo, hi = np.searchsorted(s[:, 0], q[:, 0], "left"), np.searchsorted(s[:, 0], q[:, 0], "right")
                     for i in np.flatnonzero(hi > lo):
                         same = (s[lo[i] : hi[i]] == q[i]).all(axis=1)
-                        if same.any():
+                        if same.any():  # repeated ones are grouped later
                             digests.append(q[i].astype(">u8").tobytes())
                             owners.append(ids[lo[i] : hi[i]][same].min())
                     continue
@@ -292,6 +367,17 @@ class CellIndex:
         """(of_file, hash, digest, distance, near): the nearest accepted hash within the radius of each hash of the batch (hash,
         digest) that has one, with the least id of the records at that distance, and for each known digest the least id.
         """
+        return self._nearest(*self._matches(batch, radius, folder, name, n))
+
+    @staticmethod
+    def _nearest(*found: DataFrame) -> DataFrame:
+        both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        best = both.groupBy("of_file", "hash", "digest").agg(F.min(F.struct("distance", "near")).alias("r"))
+        return best.select("of_file", "hash", "digest", "r.distance", "r.near")
+
+    def _matches(self, batch: DataFrame, radius: int, folder: str, name: str, n: int | None) -> tuple[DataFrame, DataFrame]:
+        """What was found of hashes and of digests, each in all cells that were probed. The digests are found with the first cells already, so that
+        who asks for them doesn't probe the others again."""
         known = F.col("hash").isNotNull().alias("known")
         rows = batch.select(known, F.coalesce("hash", F.lit(0)).alias("hash"), _whole_digest().alias("digest"))
 
@@ -299,6 +385,8 @@ class CellIndex:
 
         def probe(asked: DataFrame, first: bool, to: str) -> DataFrame:
             sent, stored = asked.mapInPandas(self._router(radius, first), _SENT), self._stored()
+            if not first:
+                stored = stored.filter(F.col("key") < len(self.centers) << _KEY_BITS)  # no digests
             if n <= SMALL:
                 sent = stage(sent, folder, f"{to}-sent")
                 keys = [r[0] for r in sent.select("key").distinct().limit(MOST_CELLS).collect()]
@@ -307,16 +395,15 @@ class CellIndex:
             return sent.groupBy("part").cogroup(stored.groupBy("part")).applyInPandas(self._comparer(radius, first), _FOUND)
 
         splits = max(1, math.ceil(n / SPLIT))
-        out = None
+        hashes, digests = [], []
         for i in range(splits):
             mine = rows if splits == 1 else rows.filter(F.pmod(F.xxhash64("hash"), F.lit(splits)) == i)
             one = stage(probe(mine, True, f"{name}-1-{i}"), folder, f"{name}-1-{i}")
             two = probe(one.filter(~F.col("of_file")).select(F.lit(True).alias("known"), "hash", "distance"), False, f"{name}-2-{i}")
             two = two if splits == 1 else stage(two, folder, f"{name}-2-{i}")
-            both = one.filter(F.col("distance") < NONE).unionByName(two)
-            out = both if out is None else out.unionByName(both)
-        best = out.groupBy("of_file", "hash", "digest").agg(F.min(F.struct("distance", "near")).alias("r"))
-        return best.select("of_file", "hash", "digest", "r.distance", "r.near")
+            hashes += [one.filter(~F.col("of_file") & (F.col("distance") < NONE)), two]
+            digests.append(one.filter("of_file"))
+        return reduce(DataFrame.unionByName, hashes), reduce(DataFrame.unionByName, digests)
 
     def append(self, accepted: DataFrame, name: str) -> None:
         """Add accepted records (key, hash, digest) to their cells as batch `name`, and save."""
@@ -446,9 +533,10 @@ def _merger(shared, name: str):
             ids, v = np.frombuffer(ids, np.int64), np.frombuffer(v, np.uint64)
             digests = cell >= len(shared.value)
             v = v.reshape(-1, 4) if digests else v
-            order = np.argsort(ids, kind="stable")
+            order = np.lexsort((ids, *v.T[::-1])) if digests else np.lexsort((ids, v))
             ids, v = ids[order], v[order]
-            _, first = np.unique(v, axis=0, return_index=True)
+            first = np.ones(len(v), bool)
+            first[1:] = (v[1:] != v[:-1]).any(axis=1) if digests else v[1:] != v[:-1]
             ids, v = ids[first], v[first]
             ring = np.zeros(len(v), np.uint8) if digests else np.bitwise_count(v ^ shared.value[cell])
             order = np.argsort(ring, kind="stable")
@@ -475,9 +563,9 @@ def take_batch(index: CellIndex, batch: DataFrame, radius: int, folder: str, nam
         repeats = stage(spark.createDataFrame([], _TAKEN), folder, name)
         index.append(batch, name)
         return repeats
-    found = index.matches(batch, radius, folder, f"found-{name}", n)
-    of_hash = found.filter(~F.col("of_file")).select("hash", F.col("near").alias("near_hash"), "distance")
-    of_digest = found.filter("of_file").select(F.col("digest").alias("d32"), F.col("near").alias("near_digest"))
+    hashes, digests = index._matches(batch, radius, folder, f"found-{name}", n)
+    of_hash = index._nearest(hashes).select("hash", F.col("near").alias("near_hash"), "distance")
+    of_digest = index._nearest(digests).select(F.col("digest").alias("d32"), F.col("near").alias("near_digest"))
     rows = batch.withColumn("d32", _whole_digest()).join(of_hash, "hash", "left").join(of_digest, "d32", "left").filter("near_hash IS NOT NULL OR near_digest IS NOT NULL")
     repeats = stage(rows.select("key", F.coalesce("near_digest", "near_hash").alias("near"), "distance", F.col("near_digest").isNotNull().alias("same_file")), folder, name)
     index.append(batch.join(repeats.select("key"), "key", "left_anti"), name)

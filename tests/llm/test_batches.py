@@ -145,3 +145,56 @@ def test_history_is_not_shuffled(spark):
     found = sent.groupBy("part").cogroup(index._stored().groupBy("part")).applyInPandas(index._comparer(3, True), B._FOUND)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("hashpartitioning(part") == 1  # the batch's only
+
+
+def test_large_cell_is_not_compared_in_whole(monkeypatch):
+    """Of 20,000 hashes that lie in one cell a query meets those with a word alike, also where many have one; the nearest come out, the least id of equals."""
+    r = np.random.default_rng(8)
+    flip = lambda v, n: v ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (len(v), n), dtype=np.uint64), axis=1)
+    stored = flip(np.zeros(20_000, np.uint64), 20)
+    stored[:3000] &= np.uint64(0xFFFF)  # three words alike
+    stored = np.unique(stored)
+    stored = stored[np.argsort(np.bitwise_count(stored), kind="stable")]
+    ids, q = r.permutation(len(stored)).astype(np.int64), np.concatenate([flip(stored[r.integers(0, len(stored), 3000)], 3), flip(np.zeros(3000, np.uint64), 20)])
+    whole = np.array([[*min((int(d), int(i)) for d, i in zip(row[row <= 3], ids[row <= 3]))] if (row := np.bitwise_count(x ^ stored)).min() <= 3 else [99, 0] for x in q])
+    compared, count = [0], np.bitwise_count
+
+    def counted(x, *a, **k):
+        compared[0] += x.size
+        return count(x, *a, **k)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    at, far, near = B.nearest_in(q, stored, count(stored), ids, np.uint64(0), 3)
+    assert compared[0] < len(q) * len(stored) / 10
+    got = np.full((len(q), 2), [99, 0])
+    got[at] = np.stack([far, near], axis=1)
+    assert len(at) == len(set(at.tolist())) > 2500 and (got == whole).all()
+
+
+def test_few_cells_and_parts(spark):
+    """Each hash meets all centroids: their number doesn't grow with the root of the records, nor that of the parts with Spark's partitions."""
+    first = spark.range(5000).selectExpr("xxhash64(id) AS hash")
+    assert len(B.CellIndex.create(spark, shared_folder(spark), first, 100_000_000).centers) <= 512
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        assert B.CellIndex.create(spark, shared_folder(spark), first, 1000).state["parts"] == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_reached_as_bounded():
+    r = np.random.default_rng(9)
+    d, limit = r.integers(0, 65, (200, 40)).astype(np.uint8), r.integers(0, 100, 200)
+    low, high = r.integers(0, 40, 40).astype(np.int16), r.integers(20, 65, 40).astype(np.int16)
+    low[:5], high[:5] = 99, -1  # empty
+    limit[:100] %= 4
+    assert (B.reached(d, low, high, np.minimum(limit, 64)) == (B.bounds(d.astype(np.int16), low, high) <= np.minimum(limit, 64)[:, None])).all()
+
+
+def test_other_layout_is_refused(spark):
+    folder = shared_folder(spark)
+    index = B.CellIndex.create(spark, folder, rows(spark, (1, 0, b"a")), 100)
+    index.state["layout"] = 1
+    index.save()
+    with pytest.raises(ValueError, match="another version"):
+        B.CellIndex.open(spark, folder)
