@@ -46,7 +46,7 @@ def strip(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """Split at white space; no empty words."""
-    return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
+    return F.regexp_extract_all(c, F.lit(f"[^{SPACE[1:-1]}]+"), 0)  # unlike split, it keeps its compiled pattern
 
 
 def lines_of(c: Column) -> Column:
@@ -102,11 +102,12 @@ def _word_score(name: Column) -> Column:
 
 
 def _standalone(line: Column) -> Column:
-    stripped = F.when(~strip(line).rlike(CHROME), strip(line)).otherwise("")
-    bare = F.transform(words_of(stripped), lambda w: F.btrim(w, F.lit(_EDGES)))
+    words = F.when(~line.rlike(CHROME.replace("^", f"^{SPACE}*")), words_of(line)).otherwise(F.array().cast("array<string>"))
+    bare = F.transform(words, lambda w: F.btrim(w, F.lit(_EDGES)))
     plain = F.filter(bare, lambda w: w.rlike(r"^[a-zA-Z][\p{L}\p{N}_.]{2,29}$"))
-    named = F.transform(plain, lambda w: _named(w, _word_score(normalized_username(w))))
-    return F.filter(named, lambda c: _good(c) & (c["score"] > 0))
+    # such a word is its own normalized form: it begins with a letter, and its edges are trimmed
+    named = F.transform(plain, lambda w: F.struct(w.alias("username"), _word_score(w).cast("bigint").alias("score")))
+    return F.filter(named, lambda c: (c["score"] > 0) & _good(c))
 
 
 def usernames(text: Column) -> Column:

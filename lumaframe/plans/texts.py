@@ -19,7 +19,7 @@ from lumaframe.sources.tables import table
 
 
 def _handles(spark: SparkSession, d: str) -> DataFrame:
-    rows = library_images(table(spark, d, "images"))
+    rows = library_images(table(spark, d, "images").select("id", "title", "details"))  # the greatest row begins with the greatest of these
     handle = F.lower(F.regexp_replace(F.coalesce("title", F.concat(F.lit("user "), F.col("image_id"))), "[^A-Za-z0-9]+", "_"))
     return rows.withColumn("h", handle)
 
@@ -38,8 +38,8 @@ def ocr(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.coalesce("details", F.lit("")), F.lit("\n"), F.coalesce("title", F.lit(""))))
     )
     rows = _handles(spark, d).select(n.alias("item_id"), text.alias("text"), "h")
-    second = rows.select("item_id", F.lit(0).alias("frame_no"), F.lit(1).alias("variant_no"), F.concat("h", F.lit("\n"), "text").alias("text"))
-    return rows.select("item_id", F.lit(0).alias("frame_no"), F.lit(0).alias("variant_no"), "text").unionAll(second)
+    both = F.array("text", F.concat("h", F.lit("\n"), "text"))
+    return rows.select("item_id", F.lit(0).alias("frame_no"), F.posexplode(both).alias("variant_no", "text"))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
