@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import media as M
 from lumaframe.functions.bits import id_number
-from lumaframe.operators.link import performers_by_url
-from lumaframe.operators.resolve import library_images
+from lumaframe.operators.link import matches_by_url
+from lumaframe.operators.resolve import library_images, library_images_apart
 from lumaframe.operators.votes import decisions, username_votes, winners
-from lumaframe.session import shared_folder, stage, unbounded
+from lumaframe.session import free_shuffles, shared_folder, stage, unbounded
 
 FIELDS = ("item_type", "item_id", "title", "n_files", "path", "duration", "details", "studio", "tags", "performers")
 PATCHES = ("new_studio", "new_details", "new_performers", "new_tags")
@@ -39,9 +39,10 @@ def scene_items(scenes: DataFrame) -> DataFrame:
     )
 
 
-def image_items(images: DataFrame) -> DataFrame:
+def image_items(images: DataFrame, apart: bool = False) -> DataFrame:
+    """Items of images. apart: the rows are whole and many, and only those of ids that come again are to be shuffled."""
     first = F.get("visual_files", F.lit(0))
-    return library_images(images).select(
+    return (library_images_apart if apart else library_images)(images).select(
         F.lit("image").alias("item_type"), item_name("image", F.col("image_id")).alias("item_id"), "title", F.greatest(F.coalesce(F.size("visual_files"), F.lit(0)), F.lit(0)).alias("n_files"),
         F.coalesce(first["path"], F.lit("")).alias("path"), F.lit(0.0).alias("duration"), "details", "studio", "tags", "performers",
     )
@@ -71,11 +72,18 @@ def outcomes(items: DataFrame, listing: DataFrame, texts: DataFrame, performers:
     texts: item_id, frame_no, variant_no, text of any items; only those of items with a file are scored. A dry run says the
     status and changes nothing. An item without file keeps its tags: it stays unprocessed, or queued.
     """
-    folder = shared_folder(items.sparkSession)
-    rows = stage(with_file(items, listing), folder, "items")
+    spark = items.sparkSession
+    folder = shared_folder(spark)
+    bare = lambda c: F.transform(c, lambda e: F.struct(e["id"].alias("id"), F.lit(None).cast("string").alias("name"))).alias(c)  # noqa: E731 of tags and performers only ids decide
+    rows = stage(with_file(items.select("item_id", "n_files", "path", "details", "studio", bare("tags"), bare("performers")), listing).drop("path"), folder, "items")
+    free_shuffles(spark)
     won = stage(winners(texts.join(unbounded(rows.filter("there").select("item_id")), "item_id", "left_semi")), folder, "winners")
-    links = performers_by_url(won.select("username").filter("username IS NOT NULL"), performers)
-    out = decisions(rows, won, links, done_tag, queue_tag)
+    free_shuffles(spark)
+    # matches go to the winners, not to the whole items
+    matches = matches_by_url(won.select("username").filter("username IS NOT NULL"), performers)
+    detected = stage(won.join(unbounded(matches), "username", "left"), folder, "detected")
+    free_shuffles(spark)
+    out = decisions(rows, detected, None, done_tag, queue_tag)
     if dry_run:
         out = out.select("item_id", "status", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in PATCHES))
     return out

@@ -5,11 +5,14 @@ Nothing is applied here: a plan is a DataFrame to be looked at. That is also the
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import media as M
 from lumaframe.functions.bits import id_number
+from lumaframe.operators import sieve
+from lumaframe.session import free_shuffles, shared_folder, stage
 
 
 def library_images(images: DataFrame) -> DataFrame:
@@ -19,6 +22,28 @@ def library_images(images: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.max("r").alias("r")).select("image_id", "r.*")
 
 
+def library_images_apart(images: DataFrame) -> DataFrame:
+    """As library_images, for whole rows: only those whose number may occur more than once are shuffled, the others stay in place.
+
+    The numbers are counted at once; those that occur again make a sieve, and what it lets through wrongly is a group of one.
+    """
+    spark = images.sparkSession
+    ids = images.select(id_number(F.col("id")).alias("image_id")).dropna()
+    again = stage(ids.groupBy("image_id").count().filter("count > 1").select(F.col("image_id").cast("string").cast("binary").alias("image_id")), shared_folder(spark), "again")
+    free_shuffles(spark)
+    held = sieve.of(again)
+
+    @F.arrow_udf("boolean")
+    def may_come_again(number: pa.Array) -> pa.Array:
+        return pa.array(held.value.holds(number))
+
+    fields = [c for c in images.columns if c != "id"]
+    rows = images.select(id_number(F.col("id")).alias("image_id"), F.struct(*fields).alias("r")).filter(F.col("image_id").isNotNull())
+    rows = rows.withColumn("again", may_come_again(F.col("image_id").cast("string").cast("binary")))
+    one = rows.filter("again").groupBy("image_id").agg(F.max("r").alias("r"))
+    return rows.filter("NOT again").select("image_id", "r").unionByName(one).select("image_id", "r.*")
+
+
 def open_members(groups: DataFrame, members: DataFrame, images: DataFrame, honour_tag_removal: bool = True) -> DataFrame:
     """group_id and the image's columns for the members of unresolved groups that the library has.
 

@@ -88,6 +88,11 @@ class Sieve:
         m = _bits(h)
         return self.words[(h & np.uint64(len(self.words) - 1)).astype(np.int64)] & m == m
 
+    def holds(self, strings: pa.Array) -> np.ndarray:
+        """Which may be among the strings of the sieve."""
+        t = _Text(strings)
+        return self._has(t.hashes(t.at[:-1], np.diff(t.at), True))
+
     def pieces(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Row and bytes of each piece of a text that may be one of the strings."""
         t = _Text(texts)

@@ -49,16 +49,19 @@ def winners(ocr: DataFrame) -> DataFrame:
     return platform.join(unbounded(username), "item_id", "full")
 
 
-def decisions(items: DataFrame, detected: DataFrame, links: DataFrame, done_tag: str, queue_tag: str | None = None) -> DataFrame:
+def decisions(items: DataFrame, detected: DataFrame, links: DataFrame | None, done_tag: str, queue_tag: str | None = None) -> DataFrame:
     """One row per item: status, and the new value of each field, null where it stays as it is.
 
     items: item_id, n_files, there, details, studio, tags, performers; an item without files is `no_files`, one whose file isn't
-    there `file_missing`. detected: winners(). links: username, performer_id, name of matching performers. The studio is never
+    there `file_missing`. detected: winners(). links: username, performer_id, name of matching performers; none where `detected` has
+    them as its column matches. The studio is never
     overridden; details get the marker once; performers only grow; the marker tag is added and the queue tag removed only for
     items whose file is there.
     """
-    linked = links.groupBy("username").agg(F.collect_list(F.struct("performer_id", "name")).alias("matches"))  # ten at most
-    rows = items.join(unbounded(detected), "item_id", "left").join(unbounded(linked), "username", "left")
+    rows = items.join(unbounded(detected), "item_id", "left")
+    if links is not None:
+        linked = links.groupBy("username").agg(F.collect_list(F.struct("performer_id", "name")).alias("matches"))  # ten at most
+        rows = rows.join(unbounded(linked), "username", "left")
     have = M.ids_or_none(F.col("performers"))
     fresh = F.array_sort(F.filter(F.coalesce("matches", F.array().cast("array<struct<performer_id:string,name:string>>")), lambda m: ~F.array_contains(have, m["performer_id"])))
     there = F.col("there") & (F.col("n_files") > 0)

@@ -43,15 +43,20 @@ def scenes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return I.scene_items(scenes(spark, d)).unionByName(I.image_items(table(spark, d, "images")))
+    return I.scene_items(scenes(spark, d)).unionByName(_image_items(spark, d))
+
+
+def _image_items(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "images")
+    return I.image_items(images.select(*images.columns[: images.columns.index("performers") + 1]), apart=True)  # the greatest row begins with the greatest of these
 
 
 def _number(item: str = "item_id"):
     return F.regexp_extract(item, r"(\d+)$", 1).cast("bigint")
 
 
-def listing(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).filter((F.col("path") != "") & (_number() % 13 != 0)).select("path")
+def listing(known: DataFrame) -> DataFrame:
+    return known.filter((F.col("path") != "") & (_number() % 13 != 0)).select("path")
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -74,13 +79,14 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str, mode: str, wanted: DataFrame | None = None) -> DataFrame:
-    chosen = I.to_read(items(spark, d), mode, wanted)
-    return I.outcomes(chosen, listing(spark, d), texts(spark, d), X.performers(spark, d), DONE, QUEUE if mode == "tagged" else None, mode == "scan")
+    known = items(spark, d)
+    return I.outcomes(I.to_read(known, mode, wanted), listing(known), texts(spark, d), X.performers(spark, d), DONE, QUEUE if mode == "tagged" else None, mode == "scan")
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
     """Every image, whatever its tags."""
-    return I.outcomes(I.image_items(table(spark, d, "images")), listing(spark, d), texts(spark, d), X.performers(spark, d), DONE, QUEUE)
+    known = items(spark, d)
+    return I.outcomes(known.filter("item_type = 'image'"), listing(known), texts(spark, d), X.performers(spark, d), DONE, QUEUE)
 
 
 def _first(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +98,7 @@ def _hooked(spark: SparkSession, d: str) -> DataFrame:
     """Each creation event of a scene or an image has its item read, batch by batch."""
     folder = shared_folder(spark)
     known, texts_ = stage(items(spark, d), folder, "known"), stage(texts(spark, d), folder, "texts")
-    listed, people = stage(listing(spark, d), folder, "listed"), stage(X.performers(spark, d), folder, "performers")
+    listed, people = stage(listing(known), folder, "listed"), stage(X.performers(spark, d), folder, "performers")
     decide = lambda ids: I.outcomes(I.to_read(known, "hook", ids), listed, texts_, people, DONE)
     return _flat(streamed_items(spark, f"{d}/hook_events.parquet", decide, folder))
 
@@ -105,7 +111,8 @@ def lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def united(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.with_file(items(spark, d), listing(spark, d))
+    known = items(spark, d)
+    rows = I.with_file(known, listing(known))
     state = F.when(F.col("n_files") == 0, "no_files").when(~F.col("there"), "file_missing").otherwise("there")
     return rows.groupBy("item_type", state.alias("state")).agg(F.count("*").alias("n_items"))
 

@@ -47,3 +47,10 @@ def test_handles_shuffle_no_more_than_they_need(spark, tmp_path):
     rows = X._handles(spark, str(tmp_path))
     assert rows_of(rows, "image_id", "h", "details") == [(1, "a_b", "y"), (2, "user_2", None)]
     assert "visual_files" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_ids_that_come_again_are_shuffled_whole(spark):
+    from lumaframe.operators.resolve import library_images, library_images_apart
+
+    rows = images(spark, [(str(i), {"title": f"t{i}"}) for i in range(500)] + [(" 7", {"title": "t8"}), ("7", {"title": "t9", "details": "x"}), ("no", {"title": "t"}), (None, {})])
+    assert rows_of(library_images_apart(rows)) == rows_of(library_images(rows))
